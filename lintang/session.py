@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +19,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
     }
@@ -58,5 +63,11 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(wanted)
 
 
+def ship(spark: SparkSession, model: Any) -> Callable[[], Any]:
+    """Broadcast a model of bounded size, its classes included; call the result on an executor to get it."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(data.value)
+
+
 def default_tokenizer_dir() -> str:
     return os.environ.get("LINTANG_TOKENIZERS", "/opt/tokenizers")
