@@ -5,13 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintang.llm import consensus, cross_split, near_duplicates
+from lintang.llm import consensus, cross_split, defects, encoding, leakage, near_duplicates, residue, scanned, token_ids
+from lintang.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """(id, noise, repaired) per table; one model over the texts of both."""
+    gold, extracted = table(spark, sf_dir, "gold"), table(spark, sf_dir, "extracted")
+    texts = spread(gold.select(F.col("soal").alias("text")).unionByName(extracted.select(F.col("raw_text").alias("text"))))
+    model = scanned.page_model(texts)
+    return {
+        "gold": scanned.scan_noise(gold, "rid", F.col("soal"), model),
+        "extracted": scanned.scan_noise(extracted, "ext_id", F.col("raw_text"), model),
+    }
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        found.select(F.lit(name).alias("tbl"), F.col("id").alias("row_id"), F.explode("noise").alias("noise"))
+        for name, found in _scanned(spark, sf_dir).items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy records with their repaired text."""
+    parts = [
+        found.select(F.lit(name).alias("tbl"), F.col("id").alias("row_id"), "repaired")
+        for name, found in _scanned(spark, sf_dir).items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, sources = table(spark, sf_dir, "gold"), table(spark, sf_dir, "sources")
     trust = sources.groupBy("slug").agg(F.max("trust").alias("source_trust"))
@@ -27,6 +56,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_survivors(spark, sf_dir).select("group_rid", "field", "from_rid")
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected fields with the text as stored and as restored."""
+    gold = table(spark, sf_dir, "gold").select("rid", "soal", "cara")
+    return encoding.restored_fields(gold, "rid", ["soal", "cara"]).withColumnRenamed("id", "rid")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("rid", "field")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = table(spark, sf_dir, "gold").select("rid", "soal")
     pairs = near_duplicates.near_duplicate_pairs(gold, "rid", "soal", 0.75, 12)
@@ -66,11 +105,54 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chat, correct = table(spark, sf_dir, "chatml"), table(spark, sf_dir, "correct")
+    pairs = defects.prompt_answer_pairs(chat, correct, cross_split.chat_question(F.col("messages")))
+    documents = table(spark, sf_dir, "documents").select("text", "lang")
+    model = defects.pair_model(pairs, documents, "text", "lang", {"ms": "id"})
+    return defects.defective_pairs(pairs, model)
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of the latent search with their longest common run and subsequence."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return leakage.leaks(documents, items, "doc_id", "text", "item_id", "text", 12)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).where("run >= 12").select("item_id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = residue.residue_model(documents)
+    return residue.residue_scores(documents, "doc_id", "text", model).where("score > 0").select(F.col("id").alias("doc_id"))
+
+
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the residue classifier on sources held out from training."""
+    return residue.held_out_accuracy(table(spark, sf_dir, "documents").select("text", "source"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_validation": p9_validation,
 }
