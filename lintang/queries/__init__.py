@@ -1,5 +1,7 @@
-"""Registered queries of the reference's operators and their SQL."""
+"""Registered queries of the core operators and their SQL."""
+
+from lintang.queries.core import QUERIES
+from lintang.queries.sql import ORACLE
 
-QUERIES: dict = {}
-ORACLE: dict = {}
 FLAGSHIP = "rejection_sampling_stats"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
