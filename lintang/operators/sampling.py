@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintang.session import materialize
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key))
@@ -37,3 +39,32 @@ def leak_safe_holdout(df: DataFrame, key: Column, n: int, seed: int = 42) -> Dat
     keyed = df.withColumn("__k", key)
     chosen = smallest(keyed.select("__k").distinct(), "__k", n, seed).withColumn("__t", F.lit(True))
     return keyed.join(chosen, "__k", "left").withColumn("part", F.when(F.col("__t"), "test").otherwise("train")).drop("__k", "__t")
+
+
+def bounded_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """At most n rows by smallest hash of ``key``, of a table of ``total`` rows; the same rows at any partitioning.
+
+    A hash threshold leaves about 1.5 n rows of the whole table, so that what reaches the driver does not grow with
+    the number of tasks, as a plain sort with limit would let it.
+    """
+    scale = 1 << 40
+    share = min(1.0, (1.5 * n + 200) / max(total, 1))
+    hashed = df.withColumn("__h", F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)))
+    order = [c for c in df.columns]
+    return hashed.where(F.col("__h") < int(share * scale)).orderBy("__h", *order).limit(n).drop("__h")
+
+
+def bounded_top(df: DataFrame, count: str, n: int) -> DataFrame:
+    """The rows with the greatest counts, at most n; rows of the count class that crosses n are left out whole.
+
+    A histogram of the counts (eight classes per doubling) gives the threshold, so only rows above it leave their tasks.
+    """
+    klass = F.floor(F.log2(F.col(count).cast("double")) * 8)
+    stored = materialize(df.where(F.col(count) > 0).withColumn("__k", klass))
+    least, seen = None, 0
+    for r in stored.groupBy("__k").count().orderBy(F.desc("__k")).collect():
+        seen += r["count"]
+        if seen > n:
+            break
+        least = r["__k"]
+    return stored.where(F.lit(False) if least is None else F.col("__k") >= least).drop("__k")

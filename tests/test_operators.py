@@ -144,3 +144,13 @@ def test_quality(spark):
     assert quality.answer_distribution(df.limit(0), ["split"], F.col("jawaban")).count() == 0
     table = writers.markdown_table(spark.createDataFrame([("m", "x", 0.5)], "model string, ds string, v double"), "model", "ds", "v", ["x", "y"])
     assert table.splitlines()[-1] == "| m | 0.500 | - |"
+
+
+def test_bounded_sample_and_top(spark):
+    df = spark.range(5000).withColumn("n", F.col("id") % 97 + 1)
+    a = ids(sampling.bounded_sample(df, F.col("id"), 300, 5000))
+    assert len(a) == 300 and a == ids(sampling.bounded_sample(df.repartition(7), F.col("id"), 300, 5000))
+    assert sampling.bounded_sample(df.limit(0), F.col("id"), 5, 0).count() == 0
+    top = sampling.bounded_top(df, "n", 400)
+    assert 0 < top.count() <= 400 and top.agg(F.min("n")).first()[0] > 80
+    assert sampling.bounded_top(df, "n", 10_000).count() == 5000
