@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintang.llm.setjoin import expand, membership, set_classes, verified_pairs, word_sets
+from lintang.operators.sampling import bounded_top
 from lintang.session import materialize
 
 
@@ -38,8 +39,8 @@ def head_length(n: int, threshold: float) -> int:
 def common_terms(classes: DataFrame, most_common: int) -> list[int]:
     """The ``most_common`` terms by document count over all classes, rarest first (a bounded list)."""
     counted = classes.select(F.explode("hashes").alias("term")).groupBy("term").count()
-    top = counted.orderBy(F.desc("count"), "term").limit(most_common)
-    return [r["term"] for r in top.collect()][::-1]
+    top = bounded_top(counted, "count", most_common).collect()
+    return [r["term"] for r in sorted(top, key=lambda r: (r["count"], r["term"]))]
 
 
 def term_pair_lists(classes: DataFrame, ordered: list[int], threshold: float) -> DataFrame:
