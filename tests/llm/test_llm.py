@@ -158,6 +158,26 @@ def test_scanned_pages(spark):
     assert got[1][1] == "Ibu membeli majalah di toko dengan harga murah" and got[2][1] == "Ibu membeli majalah di toko"
 
 
+def test_headers_of_small_source_files(spark):
+    words = [f"{a}{b}" for a in ("meja", "buku", "roti", "gula", "kuda") for b in ("lah", "nya", "kan", "mu")]
+    line = lambda k: f"{words[k % 20]} {words[(3 * k + 1) % 20]} dan {words[(7 * k + 2) % 20]} itu"
+    page = lambda k, head: f"{line(k)}\n{head}\n{line(k + 50)}"
+    rows = [(page(k, f"Arsip Kecil {k % 4} - Kota Lama"), f"kecil_{k % 4}") for k in range(4)] + [(page(k + 9, "Berkas Sempit Desa Jauh"), "sempit") for k in range(2)]
+    rows += [(page(30, "Kalimat biasa dalam salinan"), "salinan")] * 2 + [(page(k + 40, "Baris yang sering ada"), "lain") for k in range(2)]
+    rows += [(f"lalu baris yang sering ada {line(k)}", "lain") for k in range(9)] + [(None, None), ("", "x")]
+    texts = spark.createDataFrame(rows, "text string, file string")
+
+    def headed(texts, pages):
+        df = spark.createDataFrame(list(enumerate(pages)), "id long, t string")
+        found = scanned.scan_noise(df, "id", F.col("t"), scanned.page_model(texts)).collect()
+        return {r["id"] for r in found if "header" in r["noise"]}
+
+    # a header on two pages of its file; lines of one page a file, of copies, or also inside running text are none
+    assert headed(texts, [rows[4][0], rows[0][0], rows[6][0], rows[8][0]]) == {0}
+    numbered = spark.createDataFrame([(page(k, f"Arsip Kecil {k} - Kota Lama | {k + 7}"), f"kecil_{k}") for k in range(2)], "text string, file string")
+    assert headed(numbered, [page(5, "Arsip Kecil 5 - Kota Lama"), page(6, "Arsip Besar 5 - Kota Lama")]) == {0}
+
+
 def test_residue(spark):
     good = [f"Siswa {i} memakai {i} buku untuk menjelaskan rumus luas dan keliling." for i in range(120)] + ["Program JavaScript mencetak bilangan.", "Isilah titik-titik: 3 + ___ = 9."] * 10
     bad = ["Halaman tidak ditemukan", "Aktifkan JavaScript di peramban Anda", "Materi {{ judul }} dimulai", "Lorem ipsum dolor sit amet", "Catatan [ISI JUDUL DI SINI] tetap"] * 12
