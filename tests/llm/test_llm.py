@@ -142,6 +142,21 @@ def test_pair_defects(spark):
     assert got == {1000: "empty", 1001: "empty", 1002: "empty", 1003: "refusal", 1004: "copy", 1005: "truncated", 1006: "language", 1007: "empty"}
 
 
+def test_refusals_of_any_length(spark):
+    plain = defects.PairModel({}, 0.0, "", {}, {}, 0, 0)
+    polite = "Terima kasih atas pertanyaan yang menarik ini, semoga hari ini menyenangkan. " * 6
+    refusal = "Maaf, saya tidak dapat menjawab soal ini."
+    assert plain.defect("Berapa x = 3 ditambah dua?", polite + refusal) == "refusal"
+    assert plain.defect("Berapa x = 3 ditambah dua?", f"{refusal} Diketahui x = 3. {polite}") == "refusal"
+    assert plain.defect("Berapa?", f"{polite}Jawaban tidak boleh negatif, jadi 2 + 3 = 5. {polite}") is None
+    assert plain.defect("Berapa?", f"{polite}{refusal} Jadi \\boxed{{5}}.") is None
+
+
+def test_labelled_texts_are_read_whole(spark):
+    labelled = spark.createDataFrame([("kata biasa " * 300 + "zqzq", "id")], "text string, lang string")
+    assert defects.language_model(labelled, "text", "lang", {})[0]["id"].counts["zqz"] == 1
+
+
 def test_scanned_pages(spark):
     clean = ["Ibu membeli majalah di toko dengan harga murah dan menyimpan buku di rumah." for _ in range(40)]
     pages = ["Ibu membeli majalah di\nNaskah UN 012 · Dokumen Sekolah\ntoko dengan harga murah" for _ in range(8)]
