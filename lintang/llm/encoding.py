@@ -18,6 +18,8 @@ import heapq
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +31,13 @@ from lintang.session import spread
 CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251")
 MOST_STATES = 200
 
-STRETCH = re.compile(r"[^\x00-\x7f]+|&(?:#\d{2,5}|#x[0-9a-fA-F]{2,5}|[a-zA-Z]{2,8});|(?:\\u[0-9a-fA-F]{4})+|(?:%[89A-F][0-9A-F]){2,}|(?:=[89A-F][0-9A-F]){2,}")
+#: What a stretch may be; Python and Java read the pattern alike, so it also tells which rows are searched.
+#: Escapes with ``=`` are upper-case by definition; in lower case they would be equations such as x=ca=ab.
+SEARCHED = (
+    r"[^\x00-\x7f]+|&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[a-zA-Z][a-zA-Z0-9]{1,31});|(?:\\u[0-9a-fA-F]{4})+"
+    r"|(?:%[89a-fA-F][0-9a-fA-F]){2,}|(?:=[89A-F][0-9A-F]){2,}"
+)
+STRETCH = re.compile(SEARCHED)
 LOST = re.compile("[�\x80-\x9f]")
 #: First characters of a UTF-8 sequence that was read in a Western set, with what must follow.
 BROKEN = re.compile("â[€‚„‰ˆ‹Œ™œ\x80-\x9f]|[ÃÂ][\x80-\x9f‚ƒ„…†‡ˆ‰‹œ]")
@@ -90,7 +98,7 @@ def neighbours(text: str) -> Iterator[str]:
         yield re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     for sign in "%=":
         if sign in text:
-            data = re.sub(rb"[%=]([0-9A-F]{2})", lambda m: bytes([int(m.group(1), 16)]), text.encode())
+            data = re.sub(rb"[%=]([0-9a-fA-F]{2})", lambda m: bytes([int(m.group(1), 16)]), text.encode())
             try:
                 yield data.decode("utf-8")
             except UnicodeDecodeError:
@@ -178,6 +186,6 @@ def restored_fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
                         rows.append((row_id, field, text, fixed))
             yield pd.DataFrame(rows, columns=["id", "field", "original", "restored"])
 
-    suspicious = " OR ".join(f"f_{f} RLIKE '[^\\\\x00-\\\\x7f]|&[#a-zA-Z]|[%=][89A-F]|\\\\\\\\\\\\\\\\u'" for f in fields)
+    suspicious = reduce(or_, (F.col(f"f_{f}").rlike(SEARCHED) for f in fields))
     rows = spread(df.select(F.col(id_col).cast("bigint").alias("row_id"), *[F.col(f).alias(f"f_{f}") for f in fields]))
     return rows.where(suspicious).mapInPandas(run, "id bigint, field string, original string, restored string")

@@ -90,6 +90,14 @@ def test_encoding_keeps_genuine_signs(spark):
     assert [(r["id"], r["field"], r["restored"]) for r in encoding.restored_fields(df, "id", ["a", "b"]).collect()] == [(1, "a", "5 ° C")]
 
 
+def test_rows_of_plain_ascii_with_escapes_are_searched(spark):
+    garbled = ["caf\\u00e9 baru", "caf%c3%a9", "caf=C3=A9", "&frac12; gelas", "&#128512; ya", "&#x1F600; ya", "caf%C3%A9"]
+    plain = ["biasa saja", "50%ab", "a=89 b", "\\underline{x}", "x & y", "&bukan; entitas", "n=12", "x=ca=ab"]
+    df = spark.createDataFrame(list(enumerate(garbled + plain)), "id long, a string")
+    got = {r["id"]: r["restored"] for r in encoding.restored_fields(df, "id", ["a"]).collect()}
+    assert list(map(got.get, range(7))) == ["café baru", "café", "café", "½ gelas", "😀 ya", "😀 ya", "café"] and len(got) == 7
+
+
 def test_token_ids(spark):
     from tokenizers import Tokenizer
 
