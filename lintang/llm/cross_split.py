@@ -5,7 +5,7 @@ similarity of t implies that the shared terms carry at least the mass t of eithe
 rare to common. Of each vector only a head is put into inverted lists: the shortest one for which the squared norm
 of the residual plus the largest single weight stays below t. Two vectors that share at most one term of their
 heads cannot reach t, so the lists are kept per *pair* of head terms, which makes them short even for common
-terms. In the join of the lists the residual norms behind the second term bound the dot product and prune. Exact
+terms; texts of at most 1 / t terms, where one shared term may do, are listed by each single term as well. In the join of the lists the residual norms behind the second term bound the dot product and prune. Exact
 dot products of the rest decide.
 
 Any order of terms gives the exact result. The ``most_common`` terms with the highest document counts, counted
@@ -44,7 +44,10 @@ def common_terms(classes: DataFrame, most_common: int) -> list[int]:
 
 
 def term_pair_lists(classes: DataFrame, ordered: list[int], threshold: float) -> DataFrame:
-    """(rep, n, list_key, rest): a row for each pair of head terms; rest = terms behind the second one."""
+    """(rep, n, list_key, rest): a row for each pair of head terms; rest = terms behind the second one.
+
+    Texts so short that a single shared term may reach the threshold have a row for each term besides.
+    """
     rank = classes.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(ordered)})
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +66,11 @@ def term_pair_lists(classes: DataFrame, ordered: list[int], threshold: float) ->
                     rests.append(n - j - 1)
                     reps.append(np.full(len(i), rep))
                     sizes.append(np.full(len(i), n))
+                    if n * threshold <= 1 + 1e-9:  # one shared term may be enough
+                        keys.append(hashes)
+                        rests.append(np.full(n, n - 1))
+                        reps.append(np.full(n, rep))
+                        sizes.append(np.full(n, n))
                 yield pd.DataFrame(
                     {"rep": np.concatenate(reps), "n": np.concatenate(sizes), "list_key": np.concatenate(keys), "rest": np.concatenate(rests)}
                 )

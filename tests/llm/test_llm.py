@@ -54,6 +54,13 @@ def test_cross_split_matches_brute_force(spark):
     assert cross_split.cross_split_overlaps(left, right.limit(0), "x", "y", F.col("t"), F.col("u"), 0.75, 12).count() == 0
 
 
+def test_cross_split_of_one_word_texts(spark):
+    left = spark.createDataFrame([(1, "Satu"), (2, "dua tiga"), (3, None), (4, "lima")], "x long, t string")
+    right = spark.createDataFrame([(10, "satu!"), (11, "tiga"), (12, ""), (13, "enam"), (14, "dua, tiga")], "y long, u string")
+    pairs = lambda t: {(r["id_a"], r["id_b"]) for r in cross_split.cross_split_overlaps(left, right, "x", "y", F.col("t"), F.col("u"), t).collect()}
+    assert pairs(0.8) == {(1, 10), (2, 14)} and pairs(0.5) == {(1, 10), (2, 11), (2, 14)}
+
+
 def test_survivors(spark):
     rows = [
         (1, "Berapa 2+2?", "Jumlahkan. Jadi 4.", "4", 2, "2024-01-01"), (2, "berapa $2+2$", "Jumlahkan…", "tidak ada", 5, None),
