@@ -135,8 +135,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of the residue classifier on sources held out from training."""
-    return residue.held_out_accuracy(table(spark, sf_dir, "documents").select("text", "source"))
+    """Recall of the residue classifier on unseen sources, by family of labels, with and without the family's labels."""
+    return residue.validation(table(spark, sf_dir, "documents").select("text", "source"))
 
 
 QUERIES = {

@@ -208,11 +208,49 @@ def test_headers_of_small_source_files(spark):
     assert headed(numbered, [page(5, "Arsip Kecil 5 - Kota Lama"), page(6, "Arsip Besar 5 - Kota Lama")]) == {0}
 
 
+def residue_corpus():
+    subjects, verbs = ["luas", "volume", "sudut", "deret", "pecahan", "grafik"], ["menghitung", "membaca", "mencatat", "membahas"]
+    good = [f"Siswa {verbs[i % 4]} {subjects[i % 6]} dengan {i} contoh. Hasilnya ditulis di buku nomor {i % 17}.\nLatihan {i} meminta kita memeriksa {subjects[(i + 3) % 6]}." for i in range(240)]
+    good += [f"Program JavaScript mencetak {i} bilangan." for i in range(15)] + [f"Isilah titik-titik: {i} + ___ = 9." for i in range(15)]
+    good += [f'Kata "lorem ipsum" muncul pada {i} halaman buku.' for i in range(15)]
+    bad = ["Halaman tidak ditemukan\nSila pilih menu lain di bawah ini", "Aktifkan JavaScript di peramban Anda", "Materi {{ judul }} dimulai", "Lorem ipsum dolor sit amet", "Catatan [ISI JUDUL DI SINI] tetap"]
+    return good, (bad + [f"{line}\n{good[k]}" for k, line in enumerate(bad)]) * 6
+
+
 def test_residue(spark):
-    good = [f"Siswa {i} memakai {i} buku untuk menjelaskan rumus luas dan keliling." for i in range(120)] + ["Program JavaScript mencetak bilangan.", "Isilah titik-titik: 3 + ___ = 9."] * 10
-    bad = ["Halaman tidak ditemukan", "Aktifkan JavaScript di peramban Anda", "Materi {{ judul }} dimulai", "Lorem ipsum dolor sit amet", "Catatan [ISI JUDUL DI SINI] tetap"] * 12
-    rows = [(i, t, f"h{i % 8}") for i, t in enumerate(good + bad)] + [(900, None, None), (901, "", None), (902, "Himpunan {{}, {1}} dan \\frac{{a}}{{b}}", None)]
-    df = spark.createDataFrame(rows, "id long, text string, source string")
-    got = {r["id"] for r in residue.residue_scores(df, "id", "text", residue.residue_model(df)).where("score > 0").collect()}
-    assert got == set(range(len(good), len(good) + len(bad)))
-    assert residue.held_out_accuracy(df).first()["recall"] > 0.9
+    good, bad = residue_corpus()
+    rows = [(i, t, f"h{i % 8}") for i, t in enumerate(good + bad)] + [(900, None, None), (901, "", None), (902, "Himpunan {{}, {1}} dan \\frac{{a}}{{b}}", None), (903, " \n ", "h1")]
+    df = spark.createDataFrame(rows, "id long, text string, source string").withColumn("tokens", F.lit("clash"))
+    model = residue.residue_model(df)
+    got = {r["id"]: r["score"] for r in residue.residue_scores(df, "id", "text", model).collect()}
+    assert {i for i, s in got.items() if s > 0} == set(range(len(good), len(good) + len(bad)))
+    assert all(got[i] == float("-inf") for i in (900, 901))
+    # the JVM and Python cut texts into the same tokens
+    assert max(abs(a - got[i]) for i, a in enumerate(residue.scores_of(good + bad, model))) < 1e-3
+    # inside a long text, and learned from the lines beside labelled ones, without a label of its own
+    unlabelled = "Sila pilih menu lain di bawah ini"
+    assert not re.search(residue.labels(), residue.plain(unlabelled))
+    said = residue.scores_of(["\n".join(good) + " Materi {{ judul }} dimulai " + "\n".join(good), unlabelled, "\n".join(good)], model)
+    assert said[0] > 0 and said[1] > 0 and said[2] < 0
+    table = {r["family"]: r for r in residue.validation(df).collect()}
+    assert set(table) == set(residue.FAMILIES) and table["script"]["recall"] == 1.0 and table["script"]["flagged_share"] == 0.0
+    empty = df.limit(0)
+    assert residue.residue_scores(empty, "id", "text", residue.residue_model(empty)).count() == 0
+    assert residue.residue_scores(df, "id", "text", residue.residue_model(empty)).where("score > 0").count() == 0
+
+
+def test_signals_stand_in_all_labelled_texts(spark):
+    texts = [*residue_corpus()[1], "HTTP 502 Bad Gateway", "Halo undefined!", "kata kata kata kata", "isi teks isi teks isi teks", "java.lang.StackException", "Sesi Anda berakhir", "teks contoh", "biasa saja", "Kata \"lorem ipsum\""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", residue.is_labelled(residue.plain_column(F.col("t"))).alias("l"))
+    pattern = re.compile(residue.labels())
+    assert all(r["l"] == bool(pattern.search(residue.plain(r["t"]))) for r in df.collect())
+
+
+def test_residue_on_texts_labelled_by_hand(spark):
+    good, bad = residue_corpus()
+    df = spark.createDataFrame([(i, t, f"h{i % 8}") for i, t in enumerate(good + bad)], "id long, text string, source string")
+    model = residue.residue_model(df)
+    residues = ["Please aktifkan JavaScript", "Selamat datang, {{nama}}!", "[TULIS ISI DI SINI]", "halaman tidak ditemukan", "lorem ipsum dolor sit amet, consectetur"]
+    sound = ["Kata \"lorem ipsum\" terdiri dari dua kata.", "Program JavaScript mencetak 7 bilangan.", "Isilah titik-titik: 4 + ___ = 9.", "Jika $\\frac{{a}}{{b}} = 2$ maka a = 2b.", "Luas kelas itu 404 meter."]
+    said = residue.scores_of(residues + sound, model) > 0
+    assert said.tolist() == [True] * len(residues) + [False] * len(sound)
