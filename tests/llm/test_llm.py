@@ -213,6 +213,7 @@ def residue_corpus():
     good = [f"Siswa {verbs[i % 4]} {subjects[i % 6]} dengan {i} contoh. Hasilnya ditulis di buku nomor {i % 17}.\nLatihan {i} meminta kita memeriksa {subjects[(i + 3) % 6]}." for i in range(240)]
     good += [f"Program JavaScript mencetak {i} bilangan." for i in range(15)] + [f"Isilah titik-titik: {i} + ___ = 9." for i in range(15)]
     good += [f'Kata "lorem ipsum" muncul pada {i} halaman buku.' for i in range(15)]
+    good += [f"Catatan kelas {i}.\n{text}" for i, text in enumerate(good[240:])]
     bad = ["Halaman tidak ditemukan\nSila pilih menu lain di bawah ini", "Aktifkan JavaScript di peramban Anda", "Materi {{ judul }} dimulai", "Lorem ipsum dolor sit amet", "Catatan [ISI JUDUL DI SINI] tetap"]
     return good, [t for n in range(6) for k, line in enumerate(bad) for t in (line, f"{line}\n{good[5 * n + k]}")]
 
@@ -230,7 +231,8 @@ def test_residue(spark):
     # inside a long text, and learned from the lines beside labelled ones, without a label of its own
     unlabelled = "Sila pilih menu lain di bawah ini"
     assert not re.search(residue.labels(), residue.plain(unlabelled))
-    said = residue.scores_of(["\n".join(good) + " Materi {{ judul }} dimulai " + "\n".join(good), unlabelled, "\n".join(good)], model)
+    long = "\n".join(good[100:240])
+    said = residue.scores_of([f"{long} Materi {{{{ judul }}}} dimulai {long}", unlabelled, long], model)
     assert said[0] > 0 and said[1] > 0 and said[2] < 0
     table = {r["family"]: r for r in residue.validation(df).collect()}
     assert set(table) == set(residue.FAMILIES) and table["script"]["recall"] == 1.0 and table["script"]["flagged_share"] == 0.0
@@ -240,7 +242,7 @@ def test_residue(spark):
 
 
 def test_signals_stand_in_all_labelled_texts(spark):
-    texts = [*residue_corpus()[1], "HTTP 502 Bad Gateway", "Halo undefined!", "kata kata kata kata", "isi teks isi teks isi teks", "java.lang.StackException", "Sesi Anda berakhir", "teks contoh", "biasa saja", "Kata \"lorem ipsum\""]
+    texts = [*residue_corpus()[1], "HTTP 502 Bad Gateway", "Halo undefined!", "kata kata kata kata", "isi teks isi teks isi teks", "java.lang.StackException", "Sesi Anda berakhir", "teks contoh", "Oops, ada yang salah", "sudah dihapus", "Isi &lt;judul bab&gt; {namaSiswa}", "@Model.Judul", "biasa saja", "Kata \"lorem ipsum\""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", residue.is_labelled(residue.plain_column(F.col("t"))).alias("l"))
     pattern = re.compile(residue.labels())
     assert all(r["l"] == bool(pattern.search(residue.plain(r["t"]))) for r in df.collect())
