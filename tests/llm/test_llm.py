@@ -214,6 +214,7 @@ def residue_corpus():
     good += [f"Program JavaScript mencetak {i} bilangan." for i in range(15)] + [f"Isilah titik-titik: {i} + ___ = 9." for i in range(15)]
     good += [f'Kata "lorem ipsum" muncul pada {i} halaman buku.' for i in range(15)]
     good += [f"Catatan kelas {i}.\n{text}" for i, text in enumerate(good[240:])]
+    good += ["\n".join(good[k : k + 60]) for k in range(0, 100, 5)]
     bad = ["Halaman tidak ditemukan\nSila pilih menu lain di bawah ini", "Aktifkan JavaScript di peramban Anda", "Materi {{ judul }} dimulai", "Lorem ipsum dolor sit amet", "Catatan [ISI JUDUL DI SINI] tetap"]
     return good, [t for n in range(6) for k, line in enumerate(bad) for t in (line, f"{line}\n{good[5 * n + k]}")]
 
