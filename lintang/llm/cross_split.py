@@ -1,19 +1,22 @@
 """Same or near-same records across splits (problem 5).
 
-Method: weighted cosine join. Each text is a term vector of unit length (equal weights, so that a Jaccard
-similarity of t implies that the shared terms carry at least the mass t of either vector). Terms are ordered from
-rare to common. Of each vector only a head is put into inverted lists: the shortest one for which the squared norm
-of the residual plus the largest single weight stays below t. Two vectors that share at most one term of their
-heads cannot reach t, so the lists are kept per *pair* of head terms, which makes them short even for common
-terms; texts of at most 1 / t terms, where one shared term may do, are listed by each single term as well. In the join of the lists the residual norms behind the second term bound the dot product and prune. Exact
-dot products of the rest decide.
-
-Any order of terms gives the exact result. The ``most_common`` terms with the highest document counts, counted
-over all texts, are ordered by count; all rarer ones come before them, by hash; the cap only bounds what is
-broadcast and never drops a term.
+Method: weighted cosine join. A text is a vector of its distinct terms; the square of a term's weight rises with its inverse document
+frequency from 1 to ``SPREAD``, so rare terms count more. Inverted lists of both splits are joined; exact dot products decide.
+
+Terms are ordered from rare to common. Of each vector only a head is listed: the shortest one for which the squared norm of the
+residual plus the square of the greatest weight stays below the wanted cosine. By Cauchy's inequality two vectors whose heads share
+at most one term cannot reach it. So a rare term of a head has a list of its own, and common terms are listed by pairs of two; long
+texts have rare heads, so their rows grow with their length and not with its square. In the join of the lists the
+weights of the listed terms and the residual norms behind them bound the dot product of texts that share nothing rarer, and prune. Long lists are compared in tiles.
+
+Document frequencies are counted over all texts of both splits, in 2 ** ``BUCKETS`` hash classes, which bounds what is broadcast; words
+that share a class share its count. Weights and order only have to be the same on both sides, so the result stays exact.
+
+Any Jaccard similarity t implies a cosine of at least 1 / (1 + SPREAD * (1 / t - 1) / 2) for weights within these limits, so overlaps
+by Jaccard are joined at that cosine and then checked exactly.
 
 Defined cases: null, empty and short texts are in no pair; copies are expanded from classes of equal word sets;
-an empty side gives an empty result; further columns are ignored.
+an empty side gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,73 +29,139 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintang.llm.setjoin import expand, membership, set_classes, verified_pairs, word_sets
-from lintang.operators.sampling import bounded_top
+from lintang.llm.setjoin import expand, in_tiles, membership, set_classes, tile_pairs, with_sets, word_sets
 from lintang.session import materialize
 
+BUCKETS = 18
+SPREAD = 2.0
+#: A term whose class stands in at most so many texts has a list of its own.
+RARE = 64
 
-def head_length(n: int, threshold: float) -> int:
-    """Terms of the head: residual mass (n - p) / n plus the largest weight 1 / n stays below the threshold."""
-    return min(n, math.floor(n * (1 - threshold) + 1 + 1e-9) + 1)
 
+def cosine_of(jaccard: float) -> float:
+    """Least cosine of two vectors whose term sets have the given Jaccard similarity."""
+    return 1 / (1 + SPREAD * (1 / jaccard - 1) / 2)
 
-def common_terms(classes: DataFrame, most_common: int) -> list[int]:
-    """The ``most_common`` terms by document count over all classes, rarest first (a bounded list)."""
-    counted = classes.select(F.explode("hashes").alias("term")).groupBy("term").count()
-    top = bounded_top(counted, "count", most_common).collect()
-    return [r["term"] for r in sorted(top, key=lambda r: (r["count"], r["term"]))]
 
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
-def term_pair_lists(classes: DataFrame, ordered: list[int], threshold: float) -> DataFrame:
-    """(rep, n, list_key, rest): a row for each pair of head terms; rest = terms behind the second one.
 
-    Texts so short that a single shared term may reach the threshold have a row for each term besides.
-    """
-    rank = classes.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(ordered)})
+def document_counts(classes: DataFrame) -> np.ndarray:
+    """Number of texts per hash class of terms, over all members of (members, hashes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << BUCKETS)
+        for batch in batches:
+            if len(batch):
+                sizes = batch["hashes"].map(len).to_numpy()
+                found = buckets_of(np.concatenate(batch["hashes"].to_numpy()).astype(np.int64))
+                counts += np.bincount(found, np.repeat(batch["members"].to_numpy(), sizes), 1 << BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": at, "n": counts[at].astype(np.int64)})
+
+    counted = classes.select("members", "hashes").mapInPandas(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BUCKETS)
+    out[counted["bucket"].to_numpy(int)] = counted["n"]  # at most 2 ** BUCKETS rows
+    return out
+
+
+def squared_weights(counts: np.ndarray) -> np.ndarray:
+    """Square of the weight per hash class, from 1 (in every text) to SPREAD (in one)."""
+    total = max(counts.max(initial=0.0), 2.0)
+    return 1 + (SPREAD - 1) * (1 - np.log(np.maximum(counts, 1)) / math.log(total))
+
+
+def heads_of(hashes: np.ndarray, counts: np.ndarray, squares: np.ndarray, cosine: float, small: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list keys, squared norm of the terms in the key, squared norm behind the last of them) of a text, of unit length."""
+    bucket = buckets_of(hashes)
+    order = np.lexsort((hashes, counts[bucket]))
+    mass = squares[bucket][order]
+    mass = mass / mass.sum()
+    behind = np.maximum(1 - np.cumsum(mass), 0.0)
+    enough = np.flatnonzero(behind + mass.max() < cosine - 1e-9)
+    size = int(enough[0]) + 1 if len(enough) and len(hashes) > small else len(hashes)
+    terms = hashes[order][:size].view(np.uint64)
+    rare = int(np.searchsorted(counts[bucket][order][:size], RARE, "right"))
+    alone = size if len(hashes) <= small else rare  # in so short a text one shared term may be enough
+    i, j = np.triu_indices(size - rare, 1)
+    i, j = i + rare, j + rare
+    pairs = ((terms[i] * np.uint64(0xD6E8FEB86659FD93)) ^ (terms[j] + (terms[i] >> np.uint64(7)))).view(np.int64)
+    return np.concatenate((terms[:alone].view(np.int64), pairs)), np.concatenate((mass[:alone], mass[i] + mass[j])), np.concatenate((behind[:alone], behind[j]))
+
+
+def inverted_lists(rows: DataFrame, shared, cosine: float, small: float) -> DataFrame:
+    """(list_key, rep, origin, n, own, rest): norms of the listed terms and of what is behind them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, squares = shared.value
+        for batch in batches:
+            reps, origins, sizes, keys, owns, rests = [], [], [], [], [], []
+            held = 0
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = rank.value
+            def full() -> pd.DataFrame:
+                lengths = [len(k) for k in keys]
+                repeat = lambda values: np.repeat(np.array(values, dtype=np.int64), lengths)
+                return pd.DataFrame({"list_key": np.concatenate(keys), "rep": repeat(reps), "origin": repeat(origins), "n": repeat(sizes), "own": np.sqrt(np.concatenate(owns)), "rest": np.sqrt(np.concatenate(rests))})
+
+            for rep, origin, hashes in zip(batch["rep"], batch["origin"], batch["hashes"]):
+                key, own, rest = heads_of(np.asarray(hashes, dtype=np.int64), counts, squares, cosine, small)
+                reps.append(rep), origins.append(origin), sizes.append(len(hashes)), keys.append(key), owns.append(own), rests.append(rest)
+                held += len(key)
+                if held > 100_000:
+                    yield full()
+                    reps, origins, sizes, keys, owns, rests, held = [], [], [], [], [], [], 0
+            if keys:
+                yield full()
+
+    return rows.select("rep", "origin", "hashes").mapInPandas(run, "list_key bigint, rep bigint, origin int, n int, own float, rest float")
+
+
+def cosine_join_pairs(
+    left: DataFrame, right: DataFrame, cosine: float, jaccard: float | None = None, tile: int | None = None, sampled: int | None = None
+) -> DataFrame:
+    """(a, b, members_a, members_b, cosine, similarity) of the classes of both sides with at least that cosine (and Jaccard).
+
+    With ``jaccard`` the sizes of the texts prune, too.
+    """
+    spark = left.sparkSession
+    both = left.select("rep", "members", "hashes", F.lit(0).alias("origin")).unionByName(right.select("rep", "members", "hashes", F.lit(1).alias("origin")))
+    counts = document_counts(both)
+    shared = spark.sparkContext.broadcast((counts, squared_weights(counts)))
+    small = 2 * SPREAD / (cosine * (jaccard or cosine)) + 1
+    listed = in_tiles(both, lambda rows: inverted_lists(rows, shared, cosine, small), tile, sampled)
+    a, b = listed.where("origin = 0").alias("a"), listed.where("origin = 1").alias("b")
+    # for the first terms that two texts share nothing else is common up to the last of them
+    close = tile_pairs() & (F.col("a.own") * F.col("b.own") + F.col("a.rest") * F.col("b.rest") >= cosine - 1e-5)
+    if jaccard:
+        close = close & (F.least("a.n", "b.n") >= jaccard * F.greatest("a.n", "b.n"))
+    met = a.join(b, close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squares = shared.value[1]
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                reps, sizes, keys, rests = [], [], [], []
-                part = batch.iloc[at : at + 1000]
-                for rep, hashes in zip(part["rep"], part["hashes"]):
-                    n = len(hashes)
-                    terms = sorted(((places.get(h, -1), h) for h in hashes.tolist()))[: head_length(n, threshold)]
-                    head = np.array([h for _, h in terms], dtype=np.int64).view(np.uint64)
-                    i, j = np.triu_indices(len(head), 1)
-                    key = (head[i] * np.uint64(0x9E3779B97F4A7C15)) ^ (head[j] + (head[i] >> np.uint64(7)))
-                    keys.append(key.view(np.int64))
-                    rests.append(n - j - 1)
-                    reps.append(np.full(len(i), rep))
-                    sizes.append(np.full(len(i), n))
-                    if n * threshold <= 1 + 1e-9:  # one shared term may be enough
-                        keys.append(hashes)
-                        rests.append(np.full(n, n - 1))
-                        reps.append(np.full(n, rep))
-                        sizes.append(np.full(n, n))
-                yield pd.DataFrame(
-                    {"rep": np.concatenate(reps), "n": np.concatenate(sizes), "list_key": np.concatenate(keys), "rest": np.concatenate(rests)}
-                )
-
-    return classes.select("rep", "hashes").mapInPandas(heads, "rep bigint, n int, list_key bigint, rest int")
-
-
-def cosine_join_pairs(left: DataFrame, right: DataFrame, threshold: float, most_common: int = 4096) -> DataFrame:
-    """(a, b, members_a, members_b, similarity) of the classes of both sides with Jaccard >= threshold."""
-    ordered = common_terms(left.select("hashes").unionByName(right.select("hashes")), most_common)
-    a = term_pair_lists(left, ordered, threshold).alias("a")
-    b = term_pair_lists(right, ordered, threshold).alias("b")
-    # dot >= 2t / (1 + t) * (n_a + n_b) / 2 / sqrt(n_a n_b); both sides times sqrt(n_a n_b)
-    needed = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n"))
-    reachable = 2 + F.least("a.rest", "b.rest")
-    close = (
-        (F.col("a.list_key") == F.col("b.list_key"))
-        & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-        & (reachable >= needed - 1e-9)
-    )
-    found = a.join(b, close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    return verified_pairs(found, left, right, threshold)
+            if not len(batch):
+                continue
+            owner, terms, norms = [], [], []
+            for side in ("hashes_a", "hashes_b"):
+                sizes = batch[side].map(len).to_numpy()
+                flat = np.concatenate(batch[side].to_numpy()).astype(np.int64)
+                rows = np.repeat(np.arange(len(batch)), sizes)
+                owner.append(rows), terms.append(flat)
+                norms.append(np.bincount(rows, squares[buckets_of(flat)], len(batch)))
+            rows, flat = np.concatenate(owner), np.concatenate(terms)
+            order = np.lexsort((flat, rows))
+            rows, flat = rows[order], flat[order]
+            twice = np.flatnonzero((rows[1:] == rows[:-1]) & (flat[1:] == flat[:-1]))
+            dots = np.bincount(rows[twice], squares[buckets_of(flat[twice])], len(batch)) / np.sqrt(norms[0] * norms[1])
+            out = batch[["a", "b", "members_a", "members_b"]].assign(cosine=dots, similarity=batch["similarity"])
+            yield out[out["cosine"] >= cosine - 1e-9]
+
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    union = F.size("hashes_a") + F.size("hashes_b") - F.col("common")
+    checked = with_sets(met, left, right).withColumn("common", common).where(F.col("common") >= (jaccard or 0.0) * union)
+    schema = "a bigint, b bigint, members_a bigint, members_b bigint, cosine double, similarity double"
+    return checked.withColumn("similarity", F.col("common") / union).mapInPandas(products, schema)
 
 
 def cross_split_overlaps(
@@ -105,11 +174,11 @@ def cross_split_overlaps(
     threshold: float = 0.8,
     min_words: int = 1,
 ) -> DataFrame:
-    """(id_a, id_b, similarity): every evaluation row with each training row of similarity >= threshold."""
+    """(id_a, id_b, similarity): every evaluation row with each training row of Jaccard similarity >= threshold."""
     left_sets = word_sets(evaluation, evaluation_id, evaluation_text, min_words)
     right_sets = word_sets(training, training_id, training_text, min_words)
     left, right = materialize(set_classes(left_sets)), materialize(set_classes(right_sets))
-    pairs = materialize(cosine_join_pairs(left, right, threshold))
+    pairs = materialize(cosine_join_pairs(left, right, cosine_of(threshold), threshold))
     return expand(pairs, membership(left_sets, left), membership(right_sets, right))
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintang.llm.setjoin import expand, membership, set_classes, verified_pairs, word_sets
+from lintang.llm.setjoin import SALTS, expand, in_tiles, membership, set_classes, tile_pairs, verified_pairs, word_sets
 from lintang.session import materialize
 
 
@@ -82,9 +82,8 @@ def signatures(hash_lists: list[np.ndarray], p: SketchParameters) -> tuple[np.nd
     return keys.view(np.int64), sketch
 
 
-def candidate_pairs(classes: DataFrame, threshold: float, p: SketchParameters) -> DataFrame:
-    """Distinct (a, b) of class representatives that share a band and pass the sketch and size filters."""
-    names = [f"s{i}" for i in range(p.words)]
+def signed_classes(classes: DataFrame, p: SketchParameters) -> DataFrame:
+    """(rep, n, bands, s0, s1, ..) of each class: its size, the keys of its bands and its odd sketch."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,24 +92,23 @@ def candidate_pairs(classes: DataFrame, threshold: float, p: SketchParameters) -
                 hashes = [np.asarray(h, dtype=np.int64) for h in part["hashes"]]
                 keys, sketches = signatures(hashes, p)
                 out = pd.DataFrame({"rep": part["rep"].to_numpy(), "n": [len(h) for h in hashes], "bands": list(keys)})
-                for i, name in enumerate(names):
-                    out[name] = sketches[:, i]
-                yield out
+                yield out.assign(**{f"s{i}": sketches[:, i] for i in range(p.words)})
+
+    words = ", ".join(f"s{i} bigint" for i in range(p.words))
+    return classes.select("rep", "hashes").mapInPandas(sketch, f"rep bigint, n int, bands array<bigint>, {words}")
+
 
-    schema = "rep bigint, n int, bands array<bigint>, " + ", ".join(f"{n} bigint" for n in names)
-    signed = classes.select("rep", "hashes").mapInPandas(sketch, schema)
-    banded = signed.select(F.explode("bands").alias("band"), "rep", "n", *names)
+def candidate_pairs(classes: DataFrame, threshold: float, p: SketchParameters, tile: int | None = None, sampled: int | None = None) -> DataFrame:
+    """Distinct (a, b) of class representatives that share a band and pass the size and sketch filters inside the join.
+
+    Long bands are compared in tiles, so the pairs of one band are spread over many tasks.
+    """
+    names = [f"s{i}" for i in range(p.words)]
+    banded = in_tiles(classes, lambda rows: signed_classes(rows, p).select(F.explode("bands").alias("list_key"), "rep", "n", *names), tile, sampled)
     a, b = banded.alias("a"), banded.alias("b")
-    differing = sum(
-        (F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names[1:]),
-        F.bit_count(F.col(f"a.{names[0]}").bitwiseXOR(F.col(f"b.{names[0]}"))),
-    )
-    close = (
-        (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.rep") < F.col("b.rep"))
-        & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-        & (differing <= p.most_differing_bits(threshold))
-    )
+    apart = [F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names]
+    close = tile_pairs() & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
+    close = close & (sum(apart[1:], apart[0]) <= p.most_differing_bits(threshold))
     return a.join(b, close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
@@ -121,12 +119,25 @@ def near_duplicate_classes(
     threshold: float = 0.8,
     min_words: int = 1,
     parameters: SketchParameters = SketchParameters(),
-) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, rep, members, chunk) and linked classes (a, b, members_a, members_b, similarity)."""
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, members, links): classes (rep, members, key, hashes), members (id, rep, members, chunk) of classes of two or
+    more, and linked classes (a, b, members_a, members_b, similarity)."""
     sets = word_sets(df, id_col, F.col(text_col), min_words)
     classes = materialize(set_classes(sets))
     links = verified_pairs(candidate_pairs(classes, threshold, parameters), classes, classes, threshold)
-    return membership(sets, classes), links
+    return sets, classes, membership(sets, classes), links
+
+
+def near_duplicate_membership(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
+    """(id, rep, members, links): each row with its class, the size of the class, and how many other classes are linked to it."""
+    sets, classes, _, links = near_duplicate_classes(df, id_col, text_col, threshold, min_words)
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    of_class = classes.select("key", "rep", "members").join(ends, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    # single rows are their class; the others meet it by key and salt
+    single = of_class.where("members = 1").select(F.col("rep").alias("id"), "rep", "members", "links")
+    salts = of_class.where("members > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    salted = sets.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    return single.unionByName(salted.join(salts, ["key", "salt"]).select("id", "rep", "members", "links"))
 
 
 def near_duplicate_pairs(
@@ -138,14 +149,10 @@ def near_duplicate_pairs(
     parameters: SketchParameters = SketchParameters(),
 ) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: all pairs of rows with similarity >= threshold, copies included."""
-    members, links = near_duplicate_classes(df, id_col, text_col, threshold, min_words, parameters)
-    copies = members.where("members > 1").select("rep", "members").distinct()
-    within = copies.select(
-        F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("members").alias("members_a"),
-        F.col("members").alias("members_b"), F.lit(1.0).alias("similarity"),
-    )
-    across = expand(links, members, members).select(
-        F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity"
+    _, classes, members, links = near_duplicate_classes(df, id_col, text_col, threshold, min_words, parameters)
+    within = classes.where("members > 1").select(
+        F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("members").alias("members_a"), F.col("members").alias("members_b"), F.lit(1.0).alias("similarity")
     )
+    across = expand(links, members, members).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
     # within a class both orders and the row itself come up
     return across.unionByName(expand(within, members, members).where("id_a < id_b"))

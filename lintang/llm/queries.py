@@ -76,12 +76,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per gold row with enough words: its class of equal word sets, its size, and links to other classes."""
     gold = table(spark, sf_dir, "gold").select("rid", "soal")
-    members, links = near_duplicates.near_duplicate_classes(gold, "rid", "soal", 0.8, 12)
-    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").count()
-    return members.join(ends.withColumnRenamed("a", "rep"), "rep", "left").select(
-        F.col("id").alias("rid"), F.col("rep").alias("class_rid"), F.col("members").alias("class_size"),
-        F.coalesce("count", F.lit(0)).alias("linked_classes"),
-    )
+    found = near_duplicates.near_duplicate_membership(gold, "rid", "soal", 0.8, 12)
+    return found.select(F.col("id").alias("rid"), F.col("rep").alias("class_rid"), F.col("members").alias("class_size"), F.col("links").alias("linked_classes"))
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of class representatives with similarity of at least 0.8, beside the membership in p4_classes."""
+    gold = table(spark, sf_dir, "gold").select("rid", "soal")
+    links = near_duplicates.near_duplicate_classes(gold, "rid", "soal", 0.8, 12)[3]
+    return links.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
 
 
 def _overlaps(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
@@ -148,6 +151,7 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
+    "p4_links": p4_links,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,

@@ -1,42 +1,78 @@
-"""Shared parts of the set-similarity operators: classes of equal word sets, pair verification, expansion.
+"""Shared parts of the set-similarity operators: classes of equal word sets, hot lists in tiles, verification, expansion.
 
 Texts with the same set of distinct words form one class. Candidate search and verification run over one
-representative per class, so a text that stands in a third of all rows costs no more than a single row;
-membership is joined back at the very end, in chunks of a bounded number of rows.
+representative per class, so a text that stands in a third of all rows costs no more than a single row.
+
+Nothing hangs on one key: members of a class are numbered into chunks by (key, salt) before they meet their class, and the rows of
+a candidate list that a sample shows to be long are cut into tiles, so that the pairs of one list are compared in many tasks.
+Every pair of a list is compared, whatever its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintang.functions.words import distinct_word_hashes
-from lintang.session import spread
+from lintang.operators.sampling import bounded_top
+from lintang.session import materialize, spread
 
 CHUNK = 512
+SALTS = 64
+#: Rows of a list that are compared in one task, the share of rows that is looked at to find long lists, and how many of them are cut.
+TILE, SAMPLED, MOST_HOT = 1000, 64, 50_000
 
 
 def word_sets(df: DataFrame, id_col: str, text: Column, min_words: int) -> DataFrame:
-    """(id, hashes, key) of the rows whose text has at least ``min_words`` distinct words."""
-    hashed = spread(df.select(F.col(id_col).alias("id"), text.alias("text"))).select(
-        "id", distinct_word_hashes(F.col("text")).alias("hashes")
-    )
+    """(id, hashes, key) of the rows whose text has at least ``min_words`` distinct words; stored, so words are hashed once."""
+    hashed = spread(df.select(F.col(id_col).alias("id"), text.alias("text")), 1).select("id", distinct_word_hashes(F.col("text")).alias("hashes"))
     joined = F.array_join(F.col("hashes"), ",")
-    return hashed.where(F.size("hashes") >= max(min_words, 1)).withColumn("key", F.unhex(F.md5(joined.cast("binary"))))
+    return materialize(hashed.where(F.size("hashes") >= max(min_words, 1)).withColumn("key", F.unhex(F.md5(joined.cast("binary")))))
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """(key, rep, members, hashes): one row per distinct word set; ``rep`` is the smallest id."""
-    return sets.groupBy("key").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("hashes").alias("hashes")
-    )
+    """(rep, members, key, hashes): one row per distinct word set; ``rep`` is the smallest id. Copies are counted before the shuffle."""
+    return sets.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("hashes").alias("hashes"))
 
 
 def membership(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, rep, members, chunk): each row with its class, and the chunk of at most about CHUNK rows it is in."""
-    joined = sets.select("id", "key").join(classes.select("key", "rep", "members"), "key")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / CHUNK)).cast("int")
-    return joined.select("id", "rep", "members", chunk.alias("chunk"))
+    """(id, rep, members, chunk) of the rows in classes of two or more; a chunk has about CHUNK rows.
+
+    Rows meet their class by (key, salt), so that a class with a third of all rows is spread over SALTS tasks.
+    """
+    salted = sets.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    several = classes.where("members > 1").select("key", "rep", "members")
+    salts = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("members") / CHUNK)).cast("int")
+    return salted.join(salts, ["key", "salt"]).select("id", "rep", "members", chunk.alias("chunk"))
+
+
+def in_tiles(rows: DataFrame, lists: Callable[[DataFrame], DataFrame], tile: int | None = None, sampled: int | None = None) -> DataFrame:
+    """``lists(rows)`` with ``side``: the rows of a long list are cut into parts that meet pair by pair, under a list_key of each tile.
+
+    Two rows of a list meet in one tile and there once, if ``tile_pairs`` is part of the join condition. Long lists are found
+    in a sample of the rows; missing one changes the balance, not the result. ``rows`` has a column ``rep``.
+    """
+    size, one_in = tile or TILE, sampled or SAMPLED
+    found = lists(rows.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(one_in)) == 0)).groupBy("list_key").count()
+    hot = bounded_top(found.where(F.col("count") * one_in > size), "count", MOST_HOT).select("list_key", F.ceil(F.col("count") * one_in / size).cast("int").alias("parts"))
+    all_rows = lists(rows)
+    if hot.isEmpty():
+        return all_rows.withColumn("side", F.lit(0))
+    cut = all_rows.join(F.broadcast(hot.withColumnRenamed("parts", "_parts")), "list_key", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))  # at most MOST_HOT rows
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("_parts")).cast("int")
+    tiled = cut.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    number = F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other")
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    key = F.when(F.col("_parts") > 1, F.xxhash64("list_key", number)).otherwise(F.col("list_key"))
+    return tiled.withColumns({"list_key": key, "side": side}).drop("_own", "_other", "_parts")
+
+
+def tile_pairs(a: str = "a", b: str = "b") -> Column:
+    """Join condition of two aliased tables that ``in_tiles`` made."""
+    return (F.col(f"{a}.list_key") == F.col(f"{b}.list_key")) & ((F.col(f"{a}.side") == 0) | (F.col(f"{a}.side") != F.col(f"{b}.side")))
 
 
 def verified_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -44,27 +80,36 @@ def verified_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshol
 
     ``left`` and ``right`` hold (rep, members, hashes) of the classes on either side.
     """
+    checked = with_sets(pairs, left, right).withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b")))
+    union = F.size("hashes_a") + F.size("hashes_b") - F.col("common")
+    # compared as common >= threshold * union, free of rounding for thresholds such as 3/4
+    return checked.where(F.col("common") >= threshold * union).select("a", "b", "members_a", "members_b", (F.col("common") / union).alias("similarity"))
+
+
+def with_sets(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) with members and hashes of both sides."""
     a = left.select(F.col("rep").alias("a"), F.col("members").alias("members_a"), F.col("hashes").alias("hashes_a"))
     b = right.select(F.col("rep").alias("b"), F.col("members").alias("members_b"), F.col("hashes").alias("hashes_b"))
-    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    both = F.size("hashes_a") + F.size("hashes_b")
-    checked = pairs.join(a, "a").join(b, "b").withColumn("common", common)
-    checked = checked.withColumn("similarity", F.col("common") / (both - F.col("common")))
-    # compared as common >= threshold * union, free of rounding for thresholds such as 3/4
-    return checked.where(F.col("common") >= threshold * (both - F.col("common"))).select(
-        "a", "b", "members_a", "members_b", "similarity"
-    )
+    return pairs.join(a, "a").join(b, "b")
 
 
 def expand(pairs: DataFrame, members_a: DataFrame, members_b: DataFrame) -> DataFrame:
     """(id_a, id_b, similarity) for all members of the paired classes (a, b, members_a, members_b, similarity).
 
-    Classes are crossed chunk by chunk, so that no join key carries more than CHUNK x CHUNK results.
+    A class of one is its own representative; larger ones are crossed chunk by chunk, so that no join key carries more than
+    CHUNK x CHUNK results.
     """
     chunks = lambda c: F.sequence(F.lit(0), (F.ceil(F.col(c) / CHUNK) - 1).cast("int"))
-    tiles = pairs.withColumn("chunk_a", F.explode(chunks("members_a"))).withColumn(
-        "chunk_b", F.explode(chunks("members_b"))
-    )
-    a = members_a.select(F.col("rep").alias("a"), F.col("chunk").alias("chunk_a"), F.col("id").alias("id_a"))
-    b = members_b.select(F.col("rep").alias("b"), F.col("chunk").alias("chunk_b"), F.col("id").alias("id_b"))
-    return tiles.join(a, ["a", "chunk_a"]).join(b, ["b", "chunk_b"]).select("id_a", "id_b", "similarity")
+    tiles = pairs.withColumn("chunk_a", F.explode(chunks("members_a"))).withColumn("chunk_b", F.explode(chunks("members_b")))
+    out = None
+    for single_a in (True, False):
+        part = tiles.where("members_a = 1" if single_a else "members_a > 1")
+        a = members_a.select(F.col("rep").alias("a"), F.col("chunk").alias("chunk_a"), F.col("id").alias("id_a"))
+        part = part.withColumn("id_a", F.col("a")) if single_a else part.join(a, ["a", "chunk_a"])
+        for single_b in (True, False):
+            both = part.where("members_b = 1" if single_b else "members_b > 1")
+            b = members_b.select(F.col("rep").alias("b"), F.col("chunk").alias("chunk_b"), F.col("id").alias("id_b"))
+            both = both.withColumn("id_b", F.col("b")) if single_b else both.join(b, ["b", "chunk_b"])
+            both = both.select("id_a", "id_b", "similarity")
+            out = both if out is None else out.unionByName(both)
+    return out

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lintang.llm import consensus, cross_split, defects, encoding, leakage, near_duplicates, residue, scanned, token_ids
+from lintang.llm import consensus, cross_split, defects, encoding, leakage, near_duplicates, residue, scanned, setjoin, token_ids
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -54,6 +55,62 @@ def test_cross_split_matches_brute_force(spark):
     assert cross_split.cross_split_overlaps(left, right.limit(0), "x", "y", F.col("t"), F.col("u"), 0.75, 12).count() == 0
 
 
+def short_texts(seed, count):
+    rng = random.Random(seed)
+    base = [rng.sample([f"w{i}" for i in range(30)], rng.randrange(1, 14)) for _ in range(12)]
+    return [" ".join(w for w in rng.choice(base) + rng.sample(["x", "y", "w1", "w2", "w3"], rng.randrange(3)) if rng.random() < 0.93) for _ in range(count)]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
+def test_cross_split_of_short_texts(spark, monkeypatch, threshold):
+    monkeypatch.setattr(cross_split, "RARE", 4)
+    a, b = short_texts(5, 120), short_texts(6, 90)
+    left = spark.createDataFrame(list(enumerate(a)), "x long, t string")
+    right = spark.createDataFrame(list(enumerate(b)), "y long, u string")
+    sets = lambda t: set(WORD.findall(t.lower()))
+    true = {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if sets(p) and sets(q) and len(sets(p) & sets(q)) >= threshold * len(sets(p) | sets(q))}
+    got = [(r["id_a"], r["id_b"]) for r in cross_split.cross_split_overlaps(left, right, "x", "y", F.col("t"), F.col("u"), threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == true
+
+
+def test_weighted_cosine_join_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cross_split, "RARE", 6)
+    words = lambda prefix, seed: spark.createDataFrame(list(enumerate(variations(seed, 70) + short_texts(seed, 40))), f"{prefix} long, t string")
+    left, right = (setjoin.set_classes(setjoin.word_sets(words("id", seed), "id", F.col("t"), 1)) for seed in (7, 8))
+    counts = cross_split.document_counts(left.unionByName(right))
+    squares = cross_split.squared_weights(counts)
+    assert squares.min() >= 1 and squares.max() <= cross_split.SPREAD and len(set(squares.round(6))) > 5
+    rows = [[(r["rep"], np.array(r["hashes"], dtype=np.int64)) for r in side.collect()] for side in (left, right)]
+    mass = lambda h: squares[cross_split.buckets_of(h)].sum()
+    cosine = {(a, b): mass(np.intersect1d(x, y)) / np.sqrt(mass(x) * mass(y)) for a, x in rows[0] for b, y in rows[1] if len(np.intersect1d(x, y))}
+    for options in ({}, {"tile": 5, "sampled": 1}):  # the second cuts nearly every list into tiles
+        found = {(r["a"], r["b"]): r["cosine"] for r in cross_split.cosine_join_pairs(left, right, 0.7, **options).collect()}
+        assert set(found) == {k for k, c in cosine.items() if c >= 0.7 - 1e-9} and all(abs(found[k] - cosine[k]) < 1e-9 for k in found)
+
+
+def test_rows_of_long_texts_grow_with_their_length():
+    rng, counts = np.random.default_rng(1), np.zeros(1 << cross_split.BUCKETS)
+    common = rng.integers(-(2**63), 2**63, 300)
+    counts[cross_split.buckets_of(common)] = 10_000
+    squares = cross_split.squared_weights(counts)
+    sizes = {n: len(cross_split.heads_of(np.concatenate((common, rng.integers(-(2**63), 2**63, n - 300))), counts, squares, 0.75, 4)[0]) for n in (1000, 20_000)}
+    assert sizes[1000] < 1000 and sizes[20_000] < 20_000
+
+
+def test_long_bands_are_compared_in_tiles(spark):
+    texts = variations(9, 90)
+    classes = setjoin.set_classes(setjoin.word_sets(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", F.col("t"), 12))
+    pairs = lambda **o: {(r["a"], r["b"]) for r in near_duplicates.candidate_pairs(classes, 0.75, near_duplicates.SketchParameters(), **o).collect()}
+    assert pairs() and pairs() == pairs(tile=4, sampled=1)
+
+
+def test_membership_of_classes(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(15))) for i in range(70)] + [(100, " ".join(f"w{k}" for k in range(16))), (200, " ".join(f"v{k}" for k in range(15))), (300, None), (400, "")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("key", F.lit("clash"))
+    got = {r["id"]: (r["rep"], r["members"], r["links"]) for r in near_duplicates.near_duplicate_membership(df, "id", "t", 0.8, 12).collect()}
+    assert got == {i: (0, 70, 1) for i in range(70)} | {100: (100, 1, 1), 200: (200, 1, 0)}
+
+
 def test_cross_split_of_one_word_texts(spark):
     left = spark.createDataFrame([(1, "Satu"), (2, "dua tiga"), (3, None), (4, "lima")], "x long, t string")
     right = spark.createDataFrame([(10, "satu!"), (11, "tiga"), (12, ""), (13, "enam"), (14, "dua, tiga")], "y long, u string")
