@@ -131,6 +131,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).where("run >= 12").select("item_id", "doc_id")
 
 
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item in other words, with its numbers, but no verbatim run of it."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = leakage.paraphrases(documents, items, "doc_id", "text", "item_id", "text")
+    return found.where("run < 12 AND answer_share >= 0.8").select("item_id", "doc_id", F.round("lcs_share", 4).alias("lcs_share"), F.round("answer_share", 4).alias("answer_share"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     model = residue.residue_model(documents)
@@ -158,6 +165,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p8_paraphrases": p8_paraphrases,
     "p9_found": p9_found,
     "p9_validation": p9_validation,
 }

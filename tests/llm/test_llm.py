@@ -197,6 +197,47 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaks(d, q.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_paraphrased_items_are_found(spark):
+    rng = random.Random(8)
+    words = [f"k{i}" for i in range(400)]
+    items = [" ".join(rng.sample(words, 25) + [str(rng.randrange(100, 999)), str(rng.randrange(100, 999))]) for _ in range(12)]
+    documents, true = [], set()
+    for j in range(40):
+        text = rng.choices([*words, "lain", "dan"], k=40)
+        if j % 2:
+            k = j % 12
+            kept = [w if rng.random() < 0.8 or w.isdigit() else f"ganti{rng.randrange(99)}" for w in items[k].split()]
+            text[20:20] = kept
+            true.add((k, j))
+        documents.append(" ".join(text))
+    d = spark.createDataFrame(list(enumerate([*documents, None, ""])), "doc_id long, text string").withColumn("hashes", F.lit("clash"))
+    q = spark.createDataFrame(list(enumerate([*items, None])), "item_id long, text string")
+    found = leakage.paraphrases(d, q, "doc_id", "text", "item_id", "text").collect()
+    assert {(r["item_id"], r["doc_id"]) for r in found} == true and all(r["answer_share"] == 1.0 for r in found)
+    assert leakage.paraphrases(d.limit(0), q, "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_cluster_index_loses_nothing():
+    rng = np.random.default_rng(2)
+    centres = leakage.unit(rng.standard_normal((30, 16)))
+    near = lambda n: leakage.unit(centres[rng.integers(0, 30, n)] + 0.15 * rng.standard_normal((n, 16)))
+    held, asked = near(500), near(300)
+    i, j, _ = leakage.ClusterIndex(held, 12).search(asked, 0.9)
+    assert set(zip(i, j)) == set(zip(*np.nonzero(asked @ held.T >= 0.9))) and len(i) > 50
+
+
+def test_leak_across_the_pieces_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "PIECE", 50)
+    words = [f"k{i}" for i in range(60)]
+    rng = random.Random(3)
+    item = " ".join(rng.sample(words, 20))
+    texts = [" ".join([*rng.choices(words, k=n), item, *rng.choices(words, k=70)]) for n in range(30, 60, 3)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r["run"] for r in leakage.leaks(d, q, "doc_id", "text", "item_id", "text").collect()}
+    assert set(found) == set(range(10)) and min(found.values()) >= 20
+
+
 def test_pair_defects(spark):
     docs = [(f"Kita menghitung nilai persamaan dengan langkah yang benar untuk soal nomor {i} di sekolah.", "id") for i in range(60)]
     docs += [(f"We compute the value of the equation with the right step for exercise number {i} in school.", "en") for i in range(60)]
