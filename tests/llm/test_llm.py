@@ -170,6 +170,7 @@ def test_token_ids(spark):
     rng = random.Random(3)
     texts = ["", None, " ", "Halo dunia, 12345 apel!\n\n  x", "🙂👍🏽 ﬁgur é 数学", "<|endoftext|> a", "a" * 5000, "'s don't  I'll"]
     texts += ["".join(chr(rng.choice((32, 97, 101, 233, 0x4E2D, 10, 48, 0x1F600)) + rng.randrange(3)) for _ in range(60)) for _ in range(40)]
+    texts += ["".join(rng.choices("ab'sd 1.\n\t\r\x0b\x0c\x1c\x1f\x00_-", k=80)) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     got = {r["doc_id"]: r["ids"] for r in token_ids.token_ids(df, "doc_id", "text").collect()}
     for i, text in enumerate(texts):
