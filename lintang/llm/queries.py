@@ -17,7 +17,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """(id, noise, repaired) per table; one model over the texts of both."""
     gold, extracted = table(spark, sf_dir, "gold"), table(spark, sf_dir, "extracted")
     pages = gold.select(F.col("soal").alias("text"), F.col("source").alias("file"))
-    texts = spread(pages.unionByName(extracted.select(F.col("raw_text").alias("text"), F.col("source_file").alias("file"))))
+    texts = spread(pages.unionByName(extracted.select(F.col("raw_text").alias("text"), F.col("source_file").alias("file"))), 1)
     model = scanned.page_model(texts)
     return {
         "gold": scanned.scan_noise(gold, "rid", F.col("soal"), model),

@@ -280,13 +280,23 @@ def test_scanned_pages(spark):
         6: ("Ibu membeli majalah\nNaskah UN 013 · Dokumen Sekolah\ndi toko\n– 7 –", {"header", "pageno"}), 7: ("Zat H2O dengan x1 = 3 di toko", set()), 8: (None, set()), 9: (" ", set()),
     }
     texts = spark.createDataFrame([(t,) for t in clean + pages], "text string")
-    model = scanned.page_model(texts)
-    df = spark.createDataFrame([(k, v[0]) for k, v in noisy.items()], "id long, t string")
-    got = {r["id"]: (set(r["noise"]), r["repaired"]) for r in scanned.scan_noise(df, "id", F.col("t"), model).collect()}
-    assert {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in noisy.items() if v[1]}
+    df = spark.createDataFrame([(k, v[0]) for k, v in noisy.items()], "id long, t string").withColumn("headers", F.lit("clash"))
+    for most in (None, 4):  # with a small lexicon in memory the other words are looked up
+        model = scanned.page_model(texts, most)
+        assert (model.others is None) == (most is None)
+        got = {r["id"]: (set(r["noise"]), r["repaired"]) for r in scanned.scan_noise(df, "id", F.col("t"), model).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in noisy.items() if v[1]}
     assert got[1][1] == "Ibu membeli majalah di toko dengan harga murah" and got[2][1] == "Ibu membeli majalah di toko"
 
 
+def test_confusions_are_estimated():
+    words = {"rumah": 1000, "r0mah": 3, "rum@h": 40, "malam": 900, "rnalam": 30, "buku": 500}
+    model = scanned.PageModel(dict(words), {}, 3000, None).finish()
+    assert set(model.words) == {"rumah", "malam", "buku", "r0mah"}
+    assert model.confusions["a", "@"] > model.confusions["a", "ä"] and model.confusions["m", "rn"] > model.confusions["t", "7"]
+    assert scanned.variants("m@j@l@h", 3, model.confusions)["majalah"] == pytest.approx(3 * model.confusions["a", "@"])
+
+
 def test_headers_of_small_source_files(spark):
     words = [f"{a}{b}" for a in ("meja", "buku", "roti", "gula", "kuda") for b in ("lah", "nya", "kan", "mu")]
     line = lambda k: f"{words[k % 20]} {words[(3 * k + 1) % 20]} dan {words[(7 * k + 2) % 20]} itu"
