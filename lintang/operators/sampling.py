@@ -55,16 +55,20 @@ def bounded_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
 
 
 def bounded_top(df: DataFrame, count: str, n: int) -> DataFrame:
-    """The rows with the greatest counts, at most n; rows of the count class that crosses n are left out whole.
+    """The rows with the greatest counts, about n; of the count class that crosses n a hash class of the rows that still fit.
 
     A histogram of the counts (eight classes per doubling) gives the threshold, so only rows above it leave their tasks.
     """
     klass = F.floor(F.log2(F.col(count).cast("double")) * 8)
     stored = materialize(df.where(F.col(count) > 0).withColumn("__k", klass))
-    least, seen = None, 0
+    whole, crossing, share, seen = None, None, 0.0, 0
     for r in stored.groupBy("__k").count().orderBy(F.desc("__k")).collect():
-        seen += r["count"]
-        if seen > n:
+        if seen + r["count"] > n:
+            crossing, share = r["__k"], (n - seen) / r["count"]
             break
-        least = r["__k"]
-    return stored.where(F.lit(False) if least is None else F.col("__k") >= least).drop("__k")
+        seen += r["count"]
+        whole = r["__k"]
+    kept = F.lit(False) if whole is None else F.col("__k") >= whole
+    if crossing is not None:
+        kept = kept | ((F.col("__k") == crossing) & (F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) < int(share * (1 << 40))))
+    return stored.where(kept).drop("__k")
