@@ -1,8 +1,8 @@
 """Garbled text from wrong character encoding (problem 3).
 
-Method: best-first graph search. A state is a stretch of text; its edges encode it in a single-byte character set and
+Method: best-first graph search. A state is a stretch of text; its edges encode it in a character set and
 decode the bytes as UTF-8, or resolve escapes. States come off a heap by their plausibility cost and are visited
-once (by hash); the cheapest reachable text is the restoration. The search starts only at stretches with
+once (by hash); no edge makes a text longer, so the search ends by itself, and the cheapest reachable text is the restoration. The search starts only at stretches with
 characters that can stem from a wrong decoding, so clean text costs one regular expression.
 
 A field is affected if a stretch reaches a cheaper text, or if it holds signs of a decoding that cannot be
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from lintang.session import spread
 
-#: Single-byte character sets in which UTF-8 is read by mistake.
-CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251")
-MOST_STATES = 200
+#: Character sets in which UTF-8 is read by mistake.
+CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1254", "cp866", "koi8_r", "iso8859_15", "gbk", "shift_jis", "big5")
+#: One character of four bytes, read wrongly three times over, is no longer than this; a longer piece is several restorable ones.
+PIECE = 36
 
 #: What a stretch may be; Python and Java read the pattern alike, so it also tells which rows are searched.
 #: Escapes with ``=`` are upper-case by definition; in lower case they would be equations such as x=ca=ab.
@@ -38,7 +39,7 @@ SEARCHED = (
     r"|(?:%[89a-fA-F][0-9a-fA-F]){2,}|(?:=[89A-F][0-9A-F]){2,}"
 )
 STRETCH = re.compile(SEARCHED)
-LOST = re.compile("[�\x80-\x9f]")
+LOST = re.compile("[�\x80-\x9f]|锟斤拷")
 #: First characters of a UTF-8 sequence that was read in a Western set, with what must follow.
 BROKEN = re.compile("â[€‚„‰ˆ‹Œ™œ\x80-\x9f]|[ÃÂ][\x80-\x9f‚ƒ„…†‡ˆ‰‹œ]")
 
@@ -89,9 +90,11 @@ def neighbours(text: str) -> Iterator[str]:
         if data is None or all(b < 0x80 for b in data):
             continue
         try:
-            yield data.decode("utf-8")
+            fixed = data.decode("utf-8")
         except UnicodeDecodeError:
-            pass
+            continue
+        if len(fixed) <= len(text):
+            yield fixed
     if "&" in text:
         yield html.unescape(text)
     if "\\u" in text:
@@ -109,7 +112,7 @@ def restore_stretch(text: str) -> str:
     """Cheapest text reachable from the stretch; the stretch itself if nothing cheaper is reachable."""
     best, best_cost = text, plausibility_cost(text)
     heap, seen = [(best_cost, text)], {text}
-    while heap and len(seen) < MOST_STATES:
+    while heap:
         cost, state = heapq.heappop(heap)
         if cost < best_cost:
             best, best_cost = state, cost
@@ -117,9 +120,6 @@ def restore_stretch(text: str) -> str:
             if other not in seen:
                 seen.add(other)
                 heapq.heappush(heap, (plausibility_cost(other), other))
-    for cost, state in heap:
-        if cost < best_cost:
-            best, best_cost = state, cost
     return best
 
 
@@ -144,7 +144,7 @@ class Restorer:
         """Garbled and intact signs side by side: restore the longest restorable piece from each position."""
         out, at = [], 0
         while at < len(text):
-            for end in range(min(len(text), at + 16), at + 1, -1):
+            for end in range(min(len(text), at + PIECE), at + 1, -1):
                 fixed = restore_stretch(text[at:end])
                 if fixed != text[at:end]:
                     out.append(fixed)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintang.llm.setjoin import SALTS, expand, in_tiles, membership, set_classes, tile_pairs, verified_pairs, word_sets
+from lintang.llm.setjoin import expand, in_tiles, membership, salted_join, set_classes, tile_pairs, verified_pairs, word_sets
 from lintang.session import materialize
 
 
@@ -135,9 +135,8 @@ def near_duplicate_membership(df: DataFrame, id_col: str, text_col: str, thresho
     of_class = classes.select("key", "rep", "members").join(ends, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     # single rows are their class; the others meet it by key and salt
     single = of_class.where("members = 1").select(F.col("rep").alias("id"), "rep", "members", "links")
-    salts = of_class.where("members > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    salted = sets.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    return single.unionByName(salted.join(salts, ["key", "salt"]).select("id", "rep", "members", "links"))
+    several = salted_join(sets.select("id", "key"), of_class.where("members > 1"), ["key"], "id")
+    return single.unionByName(several.select("id", "rep", "members", "links"))
 
 
 def near_duplicate_pairs(

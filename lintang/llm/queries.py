@@ -42,15 +42,22 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _survivors(spark: SparkSession, sf_dir: str, weights: str) -> DataFrame:
     gold, sources = table(spark, sf_dir, "gold"), table(spark, sf_dir, "sources")
     trust = sources.groupBy("slug").agg(F.max("trust").alias("source_trust"))
-    rows = gold.select("rid", "soal", "cara", "jawaban", "scraped_at", "source").join(
-        trust, gold["source"] == trust["slug"], "left"
-    )
-    return consensus.survivors(
-        rows, "rid", "soal", ["soal", "cara", "jawaban"], F.col("source_trust"), F.col("scraped_at"), ["cara"]
-    ).select(F.col("group").alias("group_rid"), "field", F.col("id").alias("from_rid"), "value")
+    rows = gold.select("rid", "soal", "cara", "jawaban", "scraped_at", "source").join(trust, gold["source"] == trust["slug"], "left")
+    found = consensus.survivors(rows, "rid", "soal", ["soal", "cara", "jawaban"], F.col("source_trust"), F.col("scraped_at"), ["cara"], weights)
+    return found.select(F.col("group").alias("group_rid"), "field", F.col("id").alias("from_rid"), "value")
+
+
+def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving values in the order of trust, time and id."""
+    return _survivors(spark, sf_dir, "rank")
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving values by a vote of equal records: the existing value closest to the tokens that most records hold."""
+    return _survivors(spark, sf_dir, "equal")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +161,7 @@ QUERIES = {
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
+    "p2_consensus": p2_consensus,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,

@@ -20,7 +20,7 @@ from lintang.operators.sampling import bounded_top
 from lintang.session import materialize, spread
 
 CHUNK = 512
-SALTS = 64
+SALTS = 16
 #: Rows of a list that are compared in one task, the share of rows that is looked at to find long lists, and how many of them are cut.
 TILE, SAMPLED, MOST_HOT = 1000, 64, 50_000
 
@@ -42,11 +42,16 @@ def membership(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
     Rows meet their class by (key, salt), so that a class with a third of all rows is spread over SALTS tasks.
     """
-    salted = sets.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     several = classes.where("members > 1").select("key", "rep", "members")
-    salts = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("members") / CHUNK)).cast("int")
-    return salted.join(salts, ["key", "salt"]).select("id", "rep", "members", chunk.alias("chunk"))
+    return salted_join(sets.select("id", "key"), several, ["key"], "id").select("id", "rep", "members", chunk.alias("chunk"))
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """Inner join of rows with one row per group; the rows of a group are spread over SALTS tasks by ``spread_by``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def in_tiles(rows: DataFrame, lists: Callable[[DataFrame], DataFrame], tile: int | None = None, sampled: int | None = None) -> DataFrame:

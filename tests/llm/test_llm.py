@@ -131,6 +131,28 @@ def test_survivors(spark):
     assert consensus.survivors(df.limit(0), "id", "q", ["ans"], F.col("trust"), F.col("seen").cast("timestamp")).count() == 0
 
 
+def test_consensus_of_equal_records(spark):
+    rows = [(1, "Satu soal?", "a b x d", 5), (2, "satu soal", "a b c d", 1), (3, "Satu soal.", "a b c d e", 1), (4, "satu  soal", "q b c d", 1), (5, "dua", "z", 1), (6, "Dua!", None, 1)]
+    df = spark.createDataFrame(rows, "id long, q string, v string, trust int").withColumn("seen", F.lit(None).cast("timestamp"))
+    chosen = lambda weights: {(r["group"], r["id"]) for r in consensus.survivors(df, "id", "q", ["v"], F.col("trust"), F.col("seen"), weights=weights).collect()}
+    assert chosen("rank") == {(1, 1), (5, 5)} and chosen("equal") == {(1, 2), (5, 5)}
+    rng = random.Random(4)
+    for _ in range(60):  # equal votes against brute force: the value with the fewest edits to all others' common tokens
+        base = [f"t{i}" for i in range(8)]
+        values = [" ".join(t if rng.random() < 0.9 else f"u{rng.randrange(50)}" for t in base) for _ in range(7)]
+        columns = [max(set(c), key=c.count) for c in zip(*(v.split() for v in values))]
+        if columns != base or any([v.split()[i] for v in values].count(t) < 4 for i, t in enumerate(base)):
+            continue
+        wrong = [sum(a != b for a, b in zip(v.split(), base)) for v in values]
+        assert wrong[consensus.consensus_choice(values, [1] * 7)] == min(wrong)
+
+
+def test_hot_group_is_spread(spark):
+    df = spark.range(3000).withColumn("q", F.when(F.col("id") % 3 < 2, F.lit("panas")).otherwise(F.concat(F.lit("dingin "), F.col("id").cast("string"))))
+    out = consensus.survivors(df, "id", "q", ["q"], F.lit(1), F.lit(None).cast("timestamp")).collect()
+    assert [(r["group"], r["id"], r["copies"]) for r in out] == [(0, 0, 2000)]
+
+
 def test_consensus_of_a_large_group(spark):
     df = spark.range(1000).withColumn("q", F.lit("satu soal")).withColumn("v", F.concat(F.lit("nilai "), F.col("id").cast("string")))
     out = consensus.survivors(df, "id", "q", ["v"], F.when(F.col("id") == 777, 5).otherwise(1), F.lit(None).cast("timestamp")).collect()
@@ -140,7 +162,7 @@ def test_consensus_of_a_large_group(spark):
 
 @pytest.mark.parametrize(
     "garbled,original",
-    [("Ã—", "×"), ("Ã¢â‚¬Å“", "“"), ("┬░", "°"), ("‚àö", "√"), ("Г—", "×"), ("â‰ˆ", "≈"), ("ÃƒÂ©", "é"), ("â\x80\x93", "–"), ("&eacute;", "é")],
+    [("Ã—", "×"), ("Ã¢â‚¬Å“", "“"), ("┬░", "°"), ("‚àö", "√"), ("Г—", "×"), ("â‰ˆ", "≈"), ("ÃƒÂ©", "é"), ("â\x80\x93", "–"), ("&eacute;", "é"), ("Ã¢â\x82¬â\x84¢", "’"), ("ГўВЂВњ", "“"), ("â†’ â‰¥", "→ ≥")],
 )
 def test_encoding_restores(garbled, original):
     assert encoding.Restorer().text(f"a {garbled} b") == (f"a {original} b", True)
@@ -256,6 +278,14 @@ def test_pair_defects(spark):
     assert got == {1000: "empty", 1001: "empty", 1002: "empty", 1003: "refusal", 1004: "copy", 1005: "truncated", 1006: "language", 1007: "empty"}
 
 
+def test_long_copies_and_short_languages():
+    asked = " ".join(f"kata{i}" for i in range(200))
+    assert defects.is_copy(asked, f"{asked} {' '.join(f'baru{i}' for i in range(30))}") and not defects.is_copy(asked, f"kata1 {' '.join(f'baru{i}' for i in range(30))}")
+    texts = {"id": "kita menghitung nilai persamaan dengan langkah yang benar " * 20, "en": "we compute the value of the equation with the right steps " * 20}
+    model = defects.PairModel({n: defects.LanguageModel([t]) for n, t in texts.items()}, -9.0, "id", {}, {}, 0, 0)
+    assert model.defect("Kita menghitung nilai persamaan yang benar?", "The equation is right.") == "language"
+
+
 def test_refusals_of_any_length(spark):
     plain = defects.PairModel({}, 0.0, "", {}, {}, 0, 0)
     polite = "Terima kasih atas pertanyaan yang menarik ini, semoga hari ini menyenangkan. " * 6
