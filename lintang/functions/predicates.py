@@ -42,7 +42,7 @@ PROBLEM_KEYWORDS = (
 MATH_SIGNS = (
     r"(\d+[+\-*/^=<>]\d+|\d+[a-zA-Z]|[a-zA-Z]\s*=\s*-?\d+|[a-zA-Z]\s*\^\s*\d+|\\[a-zA-Z]+\{|\$[^$\n]+\$)"
 )
-GARBLED = "\ufffd|\u00c3[\u0080-\u00bf]|\u00e2\u20ac|\u00c2[\u0080-\u00bf]|[\u0001-\u0008\u000b\u000c\u000e-\u001f]"
+GARBLED = r"�|Ã[\x80-\xbf]|â€|Â[\x80-\xbf]|[\x00-\x08\x0b\x0c\x0e-\x1f]"
 HARD_TOPICS = (
     r"(?i)(integral|∫|\\int|analiti|akar kesatuan|persamaan fungsi|modulo|kombinator|deret tak hingga|\\sum|\\prod|kompleks|"
     r"matriks|turunan|\\lim)"

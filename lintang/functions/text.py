@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 
 from lintang.functions.predicates import is_indonesian, text_or_empty, trimmed
 
-CONTROL = "[\u0001-\u0008\u000b\u000c\u000e-\u001f\u007f]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+# The two prompts before a question.
 COT_PROMPT = (
-    "Selesaikan soal matematika berikut. Tunjukkan langkah-langkah penyelesaian secara rinci. "
-    "Pastikan jawaban akhir berada di dalam \\boxed{}.\n\n"
+    "Selesaikan soal matematika berikut. Tunjukkan langkah-langkah penyelesaian "
+    "secara rinci dan sistematis dalam Bahasa Indonesia. Pastikan jawaban akhir "
+    "(dan hanya jawaban) berada di dalam \\boxed{}.\n\n"
+)
+SHORT_PROMPT = "Selesaikan soal matematika berikut. Berikan HANYA jawaban akhir di dalam \\boxed{} tanpa langkah-langkah.\n\n"
+# Rules of plain mathematics, in their order.
+PLAIN_MATH = (
+    (r"(?<!\$)(\d+)\s*/\s*(\d+)(?!\$)", r"$\\frac{\1}{\2}$"),
+    (r"(?<!\$)([a-zA-Z0-9]+)\^(\d+)(?!\$)", r"$\1^{\2}$"),
+    (r"(?<!\$)[√∛](\d+)(?!\$)", r"$\\sqrt{\1}$"),
+    (r"(?<!\$)([a-zA-Z])_(\d+)(?!\$)", r"$\1_{\2}$"),
 )
-SHORT_PROMPT = "Jawab soal berikut. Berikan hanya jawaban akhir di dalam \\boxed{}.\n\n"
 #: Cue of a competition level and its name, in the order in which they are tried.
 LEVELS = (
     ("kabupaten", "kabupaten"), ("kota", "kabupaten"), ("provinsi", "provinsi"), ("nasional", "nasional"),
@@ -119,14 +128,10 @@ def math_segments(text: str) -> list[tuple[str, str]]:
 
 def plain_math_to_latex(text: str) -> str:
     """Fractions, powers, roots and indices of plain text as inline LaTeX; existing formulas stay as they are."""
-    rules = (
-        (r"(?<!\$)(\d+)\s*/\s*(\d+)(?!\$)", r"$\\frac{\1}{\2}$"), (r"(?<!\$)([a-zA-Z0-9]+)\^(\d+)(?!\$)", r"$\1^{\2}$"),
-        (r"(?<!\$)[√∛](\d+)(?!\$)", r"$\\sqrt{\1}$"), (r"(?<!\$)([a-zA-Z])_(\d+)(?!\$)", r"$\1_{\2}$"),
-    )
     out = []
     for kind, part in math_segments(text):
         if kind == "text":
-            for pattern, to in rules:
+            for pattern, to in PLAIN_MATH:
                 part = re.sub(pattern, to, part)
         out.append(part)
     return "".join(out).strip()
@@ -205,6 +210,11 @@ def unwrap_prompt(c: Column) -> Column:
     return trimmed(F.when(at > 0, F.substr(c, at + 2)).otherwise(c))
 
 
+def without_prompt(c: Column) -> Column:
+    """Text without the long prompt, if it begins with exactly that."""
+    return trimmed(F.when(c.startswith(COT_PROMPT), F.substr(c, F.lit(len(COT_PROMPT) + 1))).otherwise(c))
+
+
 def last_message(messages: Column, role: str) -> Column:
     return text_or_empty(F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(-1))["content"])
 
@@ -251,6 +261,36 @@ def markdown_verdict(m: Column) -> Column:
     return F.array_join(F.filter(reasons, lambda r: r.isNotNull()), "; ")
 
 
+def extraction_metrics(c: Column) -> Column:
+    """(chars, cid, mathsym, latex) of an extracted text. The two patterns of signs are fixed values."""
+    t = text_or_empty(c)
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    return F.struct(
+        F.length(t).alias("chars"), count(r"\(cid:\d+\)").alias("cid"), count("[√∫∑∏≤≥≠±∞→∂∆πθλµ²³¼½¾⁄∈∉⊂∪∩]").alias("mathsym"),
+        count(r"\$[^$]+\$|\\frac|\\sqrt|\\int|\\sum").alias("latex"),
+    )
+
+
+def protect_formulas(c: Column) -> tuple[Column, Column]:
+    """(text with ``__LATEXn__`` in place of each ``$..$``, the formulas in order)."""
+    formulas = F.regexp_extract_all(text_or_empty(c), F.lit(r"\$[^$]+\$"), F.lit(0))
+    pieces = F.split(text_or_empty(c), r"\$[^$]+\$", -1)
+    marked = F.transform(pieces, lambda p, i: F.when(i < F.size(formulas), F.concat(p, F.lit("__LATEX"), i.cast("string"), F.lit("__"))).otherwise(p))
+    return F.array_join(marked, ""), formulas
+
+
+def restore_formulas(c: Column, formulas: Column) -> Column:
+    """Inverse of ``protect_formulas``, also after the text around the marks was changed."""
+    numbered = F.transform(formulas, lambda f, i: F.struct(F.concat(F.lit("__LATEX"), i.cast("string"), F.lit("__")).alias("k"), f.alias("f")))
+    return F.aggregate(numbered, text_or_empty(c), lambda text, x: F.replace(text, x["k"], x["f"]))
+
+
+def relative_path(path: Column, base: str) -> Column:
+    """Path below ``base`` with forward slashes; other paths stay whole."""
+    whole, root = F.replace(path, F.lit("\\"), F.lit("/")), base.rstrip("/") + "/"
+    return F.when(whole.startswith(root), F.substr(whole, F.lit(len(root) + 1))).otherwise(whole)
+
+
 def json_items(c: Column, item_schema: str) -> Column:
     """Objects of a JSON array inside a reply, code fences and text around it ignored; unreadable gives an empty array."""
     bare = F.regexp_replace(text_or_empty(c), r"```(?:json)?", "")

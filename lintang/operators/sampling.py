@@ -55,20 +55,22 @@ def bounded_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
 
 
 def bounded_top(df: DataFrame, count: str, n: int) -> DataFrame:
-    """The rows with the greatest counts, about n; of the count class that crosses n a hash class of the rows that still fit.
+    """The rows with the greatest counts, at most n; of the count class that crosses n as many as fit, chosen by hash.
 
-    A histogram of the counts (eight classes per doubling) gives the threshold, so only rows above it leave their tasks.
+    A histogram of the counts (eight classes per doubling) and a hash threshold in the crossing class bound what leaves the tasks.
     """
     klass = F.floor(F.log2(F.col(count).cast("double")) * 8)
-    stored = materialize(df.where(F.col(count) > 0).withColumn("__k", klass))
-    whole, crossing, share, seen = None, None, 0.0, 0
+    stored = materialize(df.where(F.col(count) > 0).withColumn("__k", klass).withColumn("__h", F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40))))
+    whole, crossing, room, share, seen = None, None, 0, 0.0, 0
     for r in stored.groupBy("__k").count().orderBy(F.desc("__k")).collect():
         if seen + r["count"] > n:
-            crossing, share = r["__k"], (n - seen) / r["count"]
+            crossing, room = r["__k"], n - seen
+            share = min(1.0, (1.5 * room + 200) / r["count"])
             break
         seen += r["count"]
         whole = r["__k"]
-    kept = F.lit(False) if whole is None else F.col("__k") >= whole
-    if crossing is not None:
-        kept = kept | ((F.col("__k") == crossing) & (F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) < int(share * (1 << 40))))
-    return stored.where(kept).drop("__k")
+    kept = stored.where(F.lit(False) if whole is None else F.col("__k") >= whole)
+    if room:
+        fitting = stored.where((F.col("__k") == crossing) & (F.col("__h") < int(share * (1 << 40))))
+        kept = kept.unionByName(fitting.orderBy("__h", *df.columns).limit(room))
+    return kept.drop("__k", "__h")
