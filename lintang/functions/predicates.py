@@ -103,6 +103,25 @@ def cue_language(c: Column) -> Column:
     return F.when(own >= other, "id").otherwise("en")
 
 
+# Words that mark a text as Indonesian, and what is not language in a formula-laden text.
+INDONESIAN_TOKENS = (
+    "dan", "atau", "yang", "dengan", "dari", "untuk", "pada", "adalah", "ini", "itu", "akan", "tidak", "jika", "maka", "nilai", "carilah",
+    "tentukan", "hitunglah", "buktikan", "diketahui", "misalkan", "penyelesaian", "sebuah", "suatu", "bilangan", "persamaan",
+)
+NOT_LANGUAGE = r"\$[^$]+\$|\\[a-zA-Z]+\{[^}]*\}|\\[a-zA-Z]+|[0-9+\-*/^_=().]+"
+
+
+def language_label(c: Column, detected: Column | None = None) -> Column:
+    """``id``, ``en`` or ``unknown``: no word left beside formulas is unknown, an Indonesian token is id; the rest is ``detected``.
+
+    ``detected`` is what a detector says (en, or anything else for id, null where it failed); without it cue words decide.
+    """
+    plain = F.lower(F.regexp_replace(text_or_empty(c), NOT_LANGUAGE, " "))
+    found = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
+    other = cue_language(c) if detected is None else F.when(detected == "en", "en").when(detected.isNotNull(), "id").otherwise("unknown")
+    return F.when(F.size(found) == 0, "unknown").when(F.arrays_overlap(found, F.array(*[F.lit(t) for t in INDONESIAN_TOKENS])), "id").otherwise(other)
+
+
 def is_indonesian(c: Column) -> Column:
     return cue_language(c) == "id"
 

@@ -185,7 +185,7 @@ def chunks(c: Column, most: int = 6000) -> Column:
 
 
 def reattach_space(original: Column, replaced: Column) -> Column:
-    return F.concat(F.regexp_extract(original, r"^\s*", 0), F.trim(replaced), F.regexp_extract(original, r"\s*$", 0))
+    return F.concat(F.regexp_extract(original, r"^\s*", 0), trimmed(replaced), F.regexp_extract(original, r"\s*$", 0))
 
 
 def strip_think(c: Column) -> Column:

@@ -49,6 +49,25 @@ def sampling_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), count("no_boxed"), count("no_gold"), count("wrong"), count("kept"), solved)
 
 
+def sampling_counters(candidates: DataFrame, done: DataFrame, by: list[str], judge: Judge | None = None) -> DataFrame:
+    """(by, total, skipped_done, no_boxed, no_gold, by_prefilter, by_judge, kept, wrong, problems_covered) of one resumed run."""
+    rows = distinct_candidates(candidates)
+    keys = ["id", "candidate_idx"]
+    marked = rows.join(done.select(*keys).distinct().withColumn("__d", F.lit(True)), keys, "left")
+    open_rows = judged(marked.where("__d IS NULL").drop("__d")).withColumn("__how", F.when(F.col("status") == "kept", "by_prefilter").otherwise(F.col("status")))
+    if judge is not None:
+        again = judge(open_rows.where("status = 'wrong'")).withColumn("__how", F.when(F.col("judged_correct"), "by_judge").otherwise("wrong")).drop("judged_correct")
+        open_rows = open_rows.where("status <> 'wrong'").unionByName(again)
+    skipped = marked.where("__d").select(*by, "id", F.lit("skipped_done").alias("__how"))
+    every = open_rows.select(*by, "id", "__how").unionByName(skipped)
+    count = lambda s: F.sum((F.col("__how") == s).cast("int")).alias(s)
+    kept = F.col("__how").isin("by_prefilter", "by_judge")
+    return every.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), *[count(s) for s in ("skipped_done", "no_boxed", "no_gold", "by_prefilter", "by_judge", "wrong")],
+        F.sum(kept.cast("int")).alias("kept"), F.count_distinct(F.when(kept, F.col("id"))).alias("problems_covered"),
+    )
+
+
 def teacher_scores(candidates: DataFrame, correct: DataFrame, teacher: str) -> DataFrame:
     """(teacher, rows, retention_pct, coverage_pct, winner): the winner has the greatest (retention, coverage, name)."""
     a = candidates.groupBy(teacher).agg(F.count(F.lit(1)).alias("candidate_rows"), F.countDistinct("id").alias("problems_tried"))

@@ -77,13 +77,13 @@ def rejection_sampling_stats(spark, d):
 
 
 def resumed_candidates(spark, d):
-    rows = joins.without_done(table(spark, d, "candidate"), [table(spark, d, "correct"), table(spark, d, "progress").where("candidate_idx < 2")], ["id", "candidate_idx"])
+    rows = joins.without_done(table(spark, d, "candidate"), [table(spark, d, "correct")], ["id", "candidate_idx"])
     return rows.groupBy("candidate_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("problems"))
 
 
 def missing_candidates(spark, d):
-    progress = table(spark, d, "progress").distinct()
-    return joins.missing_indices(progress, progress, "id", 4)
+    problems = table(spark, d, "gold").select(F.format_string("q%09d", "rid").alias("id"))
+    return joins.missing_indices(problems, table(spark, d, "candidate").select("id", "candidate_idx").distinct(), "id", 4)
 
 
 def graded_candidates(spark, d):

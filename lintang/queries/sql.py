@@ -187,8 +187,9 @@ ORACLE = {
     "duplicate_counts": f"SELECT count(k) AS rows, count(DISTINCT k) AS distinct_keys, count(k) - count(DISTINCT k) AS duplicates FROM (SELECT {squeeze('soal')} AS k FROM gold)",
     "candidates_distinct": "SELECT DISTINCT id, candidate_idx FROM candidate WHERE id IS NOT NULL AND candidate_idx IS NOT NULL",
     "rejection_sampling_stats": f"WITH {KEPT} SELECT source, count(*) AS total, count(*) FILTER (status = 'no_boxed') AS no_boxed, count(*) FILTER (status = 'no_gold') AS no_gold, count(*) FILTER (status = 'wrong') AS wrong, count(*) FILTER (status = 'kept') AS kept, count(DISTINCT id) FILTER (status = 'kept') AS problems_covered FROM s GROUP BY source",
-    "resumed_candidates": "SELECT candidate_idx, count(*) AS n_rows, count(DISTINCT id) AS problems FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM correct x WHERE x.id = c.id AND x.candidate_idx = c.candidate_idx) AND NOT EXISTS (SELECT 1 FROM progress x WHERE x.candidate_idx < 2 AND x.id = c.id AND x.candidate_idx = c.candidate_idx) GROUP BY 1",
-    "missing_candidates": "SELECT id, unnest(range(have, 4))::int AS candidate_idx FROM (SELECT id, count(*) AS have FROM (SELECT DISTINCT id, candidate_idx FROM progress) WHERE id IS NOT NULL GROUP BY id) WHERE have < 4",
+    "resumed_candidates": "SELECT candidate_idx, count(*) AS n_rows, count(DISTINCT id) AS problems FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM correct x WHERE x.id = c.id AND x.candidate_idx = c.candidate_idx) GROUP BY 1",
+    "missing_candidates": """WITH h AS (SELECT id, count(*) AS have FROM (SELECT DISTINCT id, candidate_idx FROM candidate) GROUP BY id), p AS (SELECT DISTINCT 'q' || lpad(rid::varchar, 9, '0') AS id FROM gold)
+        SELECT id, unnest(range(coalesce(have, 0), 4))::int AS candidate_idx FROM p LEFT JOIN h USING (id) WHERE coalesce(have, 0) < 4""",
     "graded_candidates": f"WITH {graded('candidate', ANSWER, 'jawaban')} SELECT source, count(*) AS n_rows, sum(correct::int)::bigint AS correct, sum((({boxed('text')}) IS NOT NULL)::int)::bigint AS boxed FROM graded GROUP BY source",
     "sampled_scores": f"""WITH d AS (SELECT DISTINCT id, candidate_idx, jawaban, source, text FROM candidate WHERE id IS NOT NULL AND candidate_idx IS NOT NULL), {graded('d', ANSWER, 'jawaban')},
         ranked AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY candidate_idx) AS rn, ({boxed('text')}) IS NOT NULL AS hb FROM graded), {majority(3)}, {majority(5)},

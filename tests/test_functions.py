@@ -6,6 +6,7 @@ from lintang.functions import predicates as P
 from lintang.functions import text as X
 from lintang.plans.evaluate import graded_generations, sampled_scores
 
+# Answers of models, expected results and verdicts that a grader must give.
 CASES = [
     (r"...jadi \boxed{42}", "42", True), (r"\boxed{7}", "8", False), (r"tanpa kotak sama sekali", "5", False),
     (r"awalnya \boxed{3} tapi ralat \boxed{4}", "4", True), (r"\boxed{\frac{1}{2}}", "1/2", True), (r"\boxed{\frac{1}{2}}", "0.5", True),
@@ -81,3 +82,48 @@ def test_text(one):
     assert one(lambda c: X.json_items(c, "struct<a:int>"), "bukan json") == []
     with pytest.raises(ValueError):
         X.wrap_prompt(F.lit("x"), "other")
+
+
+@pytest.mark.parametrize("depth", [1, 4, 5, 9, 30])
+def test_boxes_of_any_depth(one, depth):
+    body = "a" + "{b" * depth + "}" * depth
+    assert one(A.extract_boxed, f"x \\boxed {{{body}}} y}}") == body
+    assert one(A.extract_boxed_loose, f"\\boxed z{{ {body} }}") == body
+    assert one(A.extract_boxed, f"\\boxed{{{body}") is None
+
+
+def test_prompts_are_exact(one):
+    assert one(X.wrap_prompt, " Berapa? ") == (
+        "Selesaikan soal matematika berikut. Tunjukkan langkah-langkah penyelesaian secara rinci dan sistematis dalam Bahasa Indonesia. "
+        "Pastikan jawaban akhir (dan hanya jawaban) berada di dalam \\boxed{}.\n\nBerapa?"
+    )
+    assert one(lambda c: X.wrap_prompt(c, "nocot"), "Berapa?").startswith("Selesaikan soal matematika berikut. Berikan HANYA jawaban akhir di dalam \\boxed{} tanpa")
+    assert one(lambda c: X.without_prompt(X.wrap_prompt(c)), "Berapa?\n\nYa") == "Berapa?\n\nYa" and one(X.without_prompt, " lain ") == "lain"
+
+
+def test_control_characters(one):
+    for text in ("a\x00b", "a\x08", "Ã\x80", "â€œ", "Â°", "\ufffd", "\x1f"):
+        assert one(P.is_garbled, text), text
+    assert not any(one(P.is_garbled, t) for t in ("a\tb\n", "Ã", "â", "Âu", ""))
+    assert one(X.clean_record_text, "a\x00b\x7f") == "ab"
+
+
+def test_language_labels(one):
+    assert one(P.language_label, "$x^2$ 12 + 3") == "unknown" and one(P.language_label, "Tentukan nilai $x$") == "id"
+    assert one(P.language_label, "the value is given") == "en" and one(P.language_label, None) == "unknown"
+    assert one(lambda c, d: P.language_label(c, d), "hallo welt", "de") == "id" and one(lambda c, d: P.language_label(c, d), "hello world", "en") == "en"
+
+
+def test_formulas_survive_a_change_of_text(one):
+    for text in ("a $x$ b $y^2$", "$x$", "tanpa", "", "$ $a$ $", None, "$x$$y$"):
+        protect = lambda c: F.struct(*[x.alias(n) for x, n in zip(X.protect_formulas(c), "tf")])
+        row = one(protect, text) if text is not None else None
+        if row:
+            assert one(lambda c: X.restore_formulas(X.protect_formulas(c)[0], X.protect_formulas(c)[1]), text) == text
+    assert one(lambda c: X.restore_formulas(F.upper(X.protect_formulas(c)[0]), X.protect_formulas(c)[1]), "jika $x$ maka $y$") == "JIKA $x$ MAKA $y$"
+
+
+def test_small_text_functions(one):
+    assert one(lambda c: X.relative_path(c, "/a/b"), "/a/b/c\\d") == "c/d" and one(lambda c: X.relative_path(c, "/a/b"), "/x/c") == "/x/c"
+    assert one(lambda a, b: X.reattach_space(a, b), "\t satu \n", " dua ") == "\t dua \n"
+    assert one(A.symbolic_match, "2^3", "8") and one(A.symbolic_match, "x" + "+x" * 200, "201x") and not one(A.symbolic_match, "2^3", "9")
