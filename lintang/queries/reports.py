@@ -10,7 +10,8 @@ from lintang.functions import predicates as P
 from lintang.functions import text as X
 from lintang.operators import records, sequence, similarity
 from lintang.plans import distill, quality, reports
-from lintang.queries.core import table
+from lintang.queries.core import _folder, table
+from lintang.sources import readers, writers
 
 
 def _gold(spark, d):
@@ -110,6 +111,64 @@ def leak_examples(spark, d):
     return reports.best_matches(pairs, 5).select("a", "b", F.round("cosine", 3).alias("cosine"))
 
 
+def embedding_survivors(spark, d):
+    unit = similarity.unit_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return similarity.greedy_embedding_survivors(unit).groupBy("kept").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def embedding_twins(spark, d):
+    """Pairs of embeddings with a cosine of at least 0.5."""
+    unit = similarity.unit_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return similarity.embedding_pairs(unit, 0.5, bits=6, bands=64).select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
+def progress_log(spark, d):
+    """The progress table as a tab-separated log and back."""
+    path = _folder(spark)
+    table(spark, d, "progress").write.option("sep", "\t").csv(path)
+    return readers.progress(spark, path)
+
+
+def json_lines_skipped(spark, d):
+    """Records with the lines of documents between them; what is no record is skipped."""
+    return readers.jsonl(spark, _mixed_lines(spark, d), "rid bigint, soal string", "skip").select("rid", "soal")
+
+
+def json_lines_kept(spark, d):
+    rows = readers.jsonl(spark, _mixed_lines(spark, d), "rid bigint, soal string", "keep")
+    return rows.select("rid", F.length("_parse_error").alias("error_chars")).groupBy(F.col("rid").isNull().alias("broken")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("error_chars").alias("most_chars"))
+
+
+def _mixed_lines(spark, d):
+    path = _folder(spark)
+    records = table(spark, d, "gold").select(F.to_json(F.struct("rid", F.coalesce("soal", F.lit("")).alias("soal"))).alias("value"))
+    records.unionByName(table(spark, d, "sources").select(F.concat(F.lit("bukan rekaman "), F.repeat(F.col("slug"), F.lit(20))).alias("value"))).write.text(path)
+    return path
+
+
+def json_array_slice(spark, d):
+    """Items 10 to 60 of the benchmark as one JSON array."""
+    path = _folder(spark)
+    items = table(spark, d, "benchmark").agg(F.to_json(F.array_sort(F.collect_list(F.struct("item_id", "text")))).alias("value"))
+    items.coalesce(1).write.text(path)
+    return readers.json_array(spark, path, "item_id bigint, text string", 10, 60).select("position", "item_id")
+
+
+def csv_union(spark, d):
+    """Two tables of different columns in one CSV file and back."""
+    path = _folder(spark)
+    parts = [table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "sources").select("slug", "level", "trust")]
+    writers.csv(writers.csv_union(parts, ["slug"]), path)
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    return rows.select(*rows.columns)
+
+
+def partitioned_gold(spark, d):
+    path = _folder(spark)
+    writers.partitioned(table(spark, d, "gold").select("rid", "soal", F.coalesce("hard", F.lit(False)).alias("hard")), path, "hard")
+    return spark.read.parquet(path).groupBy(F.col("hard").cast("string").alias("hard")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def coverage_scores(spark, d):
     runs = table(spark, d, "correct").select(F.col("candidate_idx").alias("run"), "id").where("id IS NOT NULL")
     return reports.coverage_scores(runs, table(spark, d, "candidate").select(F.col("candidate_idx").alias("run"), "id").where("run IS NOT NULL"), "run", "id")
@@ -240,6 +299,7 @@ def chat_questions(spark, d):
 QUERIES = {f.__name__: f for f in (
     gold_flag_counts, gold_flagged, gold_summary, gold_rates, chat_flag_counts, chat_rates, arm_delta, cleaning_report, cleaning_reasons_symbolic, holdout_counters, verdict_rates,
     judge_replies, judge_prompts, language_rates, language_labels, detected_languages, rule_reasons_detected, lexical_duplicate_rate, leak_examples, coverage_scores,
+    embedding_survivors, embedding_twins, progress_log, json_lines_skipped, json_lines_kept, json_array_slice, csv_union, partitioned_gold,
     sampling_counters, merged_results, provenance_summary, solved_or_tried, unsolved, distinct_lines, first_links, protected_formulas, extraction_metrics, markdown_order,
     attached_images, field_tasks, translated_once, text_layers, page_payloads, continued_items, text_keys, clean_texts, solution_texts, rendered_chats, file_names, page_flags,
     chat_questions,

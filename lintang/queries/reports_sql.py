@@ -107,6 +107,14 @@ ORACLE = {
     "coverage_scores": """WITH runs AS (SELECT candidate_idx AS run, id FROM correct WHERE id IS NOT NULL), pools AS (SELECT DISTINCT candidate_idx AS run, id FROM candidate WHERE id IS NOT NULL AND candidate_idx IS NOT NULL),
         common AS (SELECT id FROM pools GROUP BY id HAVING count(*) = (SELECT count(DISTINCT run) FROM runs)), m AS (SELECT run, count(DISTINCT id) AS coverage_raw, count(*) AS total_correct, count(DISTINCT id) FILTER (id IN (SELECT id FROM common)) AS coverage_common FROM runs GROUP BY run),
         s AS (SELECT m.*, (SELECT count(*) FROM pools WHERE pools.run = m.run) AS pool_size FROM m) SELECT *, run = (SELECT run FROM s ORDER BY coverage_common DESC, total_correct DESC, run DESC LIMIT 1) AS winner FROM s""",
+    "embedding_twins": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS v FROM embeddings)
+        SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 4) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.5""",
+    "progress_log": "SELECT DISTINCT id, candidate_idx FROM progress",
+    "json_lines_skipped": "SELECT rid, coalesce(soal, '') AS soal FROM gold",
+    "json_lines_kept": "SELECT false AS broken, count(*) AS n_rows, NULL::int AS most_chars FROM gold UNION ALL SELECT true, count(*), max(least(14 + 20 * length(slug), 200))::int FROM sources",
+    "json_array_slice": "SELECT (n - 1)::int AS position, item_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id, text) AS n FROM benchmark) WHERE n - 1 >= 10 AND n - 1 < 60",
+    "csv_union": "SELECT '' AS slug, item_id::varchar AS item_id, '' AS level, coalesce(text, '') AS text, '' AS trust FROM benchmark UNION ALL SELECT coalesce(slug, ''), '', coalesce(level, ''), '', coalesce(trust::varchar, '') FROM sources",
+    "partitioned_gold": "SELECT coalesce(hard, false)::varchar AS hard, count(*) AS n_rows FROM gold GROUP BY 1",
     "sampling_counters": f"""WITH {KEPT} SELECT source, count(*) AS total, {', '.join(f"count(*) FILTER (how = '{h}') AS {h}" for h in ('skipped_done', 'no_boxed', 'no_gold', 'by_prefilter', 'by_judge', 'wrong'))},
         count(*) FILTER (how IN ('by_prefilter', 'by_judge')) AS kept, count(DISTINCT id) FILTER (how IN ('by_prefilter', 'by_judge')) AS problems_covered FROM s GROUP BY source""",
     "merged_results": """WITH g AS (SELECT source, count(*) AS n FROM gold GROUP BY 1), d AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT source, count(*) AS n FROM chatml GROUP BY 1), k AS (SELECT source FROM g UNION SELECT source FROM d UNION SELECT source FROM c)

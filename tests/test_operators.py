@@ -154,3 +154,45 @@ def test_bounded_sample_and_top(spark):
     top = sampling.bounded_top(df, "n", 400)
     assert 0 < top.count() <= 400 and top.agg(F.min("n")).first()[0] > 80
     assert sampling.bounded_top(df, "n", 10_000).count() == 5000
+
+
+def test_greedy_embedding_survivors_match_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 24))
+    vectors = np.concatenate([base[rng.integers(0, 60, 240)] + 0.2 * rng.standard_normal((240, 24)), base[:20], base[:20]])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine, kept = unit @ unit.T, []
+    for i in range(len(unit)):
+        if not any(cosine[i, j] >= 0.92 for j in kept):
+            kept.append(i)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "id long, v array<double>")
+    for tile in (1000, 3):  # the second cuts every group of hyperplanes into parts
+        pairs = {(r["a"], r["b"]) for r in similarity.embedding_pairs(rows, 0.92, tile=tile).collect()}
+        true = {(i, j) for i in range(len(unit)) for j in range(i + 1, len(unit)) if cosine[i, j] >= 0.92 + 1e-9}
+        assert len(true) > 100 and len(true & pairs) >= 0.99 * len(true)
+    got = {r["id"] for r in similarity.greedy_embedding_survivors(rows).where("kept").collect()}
+    assert len(got ^ set(kept)) <= 1
+    assert similarity.greedy_embedding_survivors(rows.limit(0)).count() == 0
+
+
+def test_blocks_of_a_hot_document_match_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["panas"] * 8 + ["lain", None]), i, rng.choice([None, None, f"v{i}"]), rng.random() < 0.3, rng.random() < 0.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc string, n int, v string, numbered boolean, complete boolean").withColumn("t", F.concat(F.lit("t"), F.col("n").cast("string"))).repartition(5)
+    carried, groups, last, before = {}, {}, {}, {}
+    for doc, n, v, numbered, complete in rows:
+        last[doc] = v or last.get(doc)
+        carried[n] = last[doc]
+        if numbered or before.get(doc, True):
+            groups.setdefault(doc, []).append([])
+        groups[doc][-1].append(n)
+        before[doc] = complete
+    got = {r["n"]: r["c"] for r in sequence.carry_down(df, "doc", "n", "v", "c").collect()}
+    assert got == carried
+    merged = {(r["doc"], r["n"]): r["t"] for r in sequence.pending_questions(df, "doc", ["n"], "t", "numbered", "complete").collect()}
+    assert merged == {(doc, g[0]): "\n".join(f"t{n}" for n in g) for doc, parts in groups.items() for g in parts}
+    assert sequence.carry_down(df.limit(0), "doc", "n", "v", "c").count() == 0
