@@ -29,7 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintang.llm.setjoin import expand, in_tiles, membership, set_classes, tile_pairs, with_sets, word_sets
+from lintang.llm.setjoin import expand, membership, set_classes, with_sets, word_sets
+from lintang.operators.tiles import in_tiles, tile_pairs
 from lintang.session import materialize
 
 BUCKETS = 18

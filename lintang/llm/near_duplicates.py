@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintang.llm.setjoin import expand, in_tiles, membership, salted_join, set_classes, tile_pairs, verified_pairs, word_sets
+from lintang.llm.setjoin import expand, membership, salted_join, set_classes, verified_pairs, word_sets
+from lintang.operators.tiles import in_tiles, tile_pairs
 from lintang.session import materialize
 
 
