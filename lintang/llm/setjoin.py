@@ -21,8 +21,8 @@ SALTS = 16
 def word_sets(df: DataFrame, id_col: str, text: Column, min_words: int) -> DataFrame:
     """(id, hashes, key) of the rows whose text has at least ``min_words`` distinct words; stored, so words are hashed once."""
     hashed = spread(df.select(F.col(id_col).alias("id"), text.alias("text")), 1).select("id", distinct_word_hashes(F.col("text")).alias("hashes"))
-    joined = F.array_join(F.col("hashes"), ",")
-    return materialize(hashed.where(F.size("hashes") >= max(min_words, 1)).withColumn("key", F.unhex(F.md5(joined.cast("binary")))))
+    key = F.struct(*[F.xxhash64(F.lit(seed), "hashes").alias(name) for seed, name in ((1, "x"), (2, "y"))])  # 128 bits
+    return materialize(hashed.where(F.size("hashes") >= max(min_words, 1)).withColumn("key", key))
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
