@@ -125,7 +125,7 @@ def near_duplicate_classes(
     more, and linked classes (a, b, members_a, members_b, similarity)."""
     sets = word_sets(df, id_col, F.col(text_col), min_words)
     classes = materialize(set_classes(sets))
-    links = verified_pairs(candidate_pairs(classes, threshold, parameters), classes, classes, threshold)
+    links = materialize(verified_pairs(candidate_pairs(classes, threshold, parameters), classes, classes, threshold))
     return sets, classes, membership(sets, classes), links
 
 
