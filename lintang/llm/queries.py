@@ -152,7 +152,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the residue classifier on unseen sources, by family of labels, with and without the family's labels."""
+    """Recall of the residue classifier on unseen sources, with all labels and without the labels that know a document."""
     return residue.validation(table(spark, sf_dir, "documents").select("text", "source"))
 
 
