@@ -51,8 +51,8 @@ def _boxed(text: Column, lead: str) -> Column:
     """
     shallow, after = rf"(?s)^{lead}\{{({balanced()})\}}", F.substring_index(text, "\\boxed", -1)
     found = once(after, lambda a: F.when(a.rlike(shallow), F.regexp_extract(a, shallow, 1)))
-    deep = after.rlike(rf"(?s)^{lead}\{{" + r".*\{" * (DEPTH + 1))
-    return F.when(text.contains("\\boxed"), F.when(deep, _scanned(after)).otherwise(found))
+    deep = (F.length(after) - F.length(F.replace(after, F.lit("{"), F.lit(""))) > DEPTH) & after.rlike(rf"^{lead}\{{")
+    return F.when(text.contains("\\boxed"), F.coalesce(found, F.when(deep, _scanned(after))))
 
 
 def extract_boxed(text: Column) -> Column:
