@@ -1,9 +1,10 @@
 """Near-duplicate records with small edits (problem 4).
 
-Method: MinHash signatures are cut into bands; rows that agree in a band are candidates. A second part of each
-signature is folded into an odd sketch (a parity bitmap); the population count of the XOR of two sketches
-estimates their similarity, and candidates estimated far below the threshold are dropped inside the join, before
-anything is shuffled. What is left is checked exactly on the word sets.
+Method: MinHash signatures are cut into bands; rows that agree in a band are candidates. An odd sketch of the word set (a
+parity bitmap) goes with each row; no more bits of two sketches can differ than words stand in one set only, so candidates
+that differ in too many are dropped inside the join, before anything is shuffled, and none of them is a pair. What is left
+is checked exactly on the word sets. The bands of large tables are joined in passes of ``at_once``, and the files of a pass
+go before the next one begins.
 
 Defined cases: null, empty and short texts (fewer than ``min_words`` distinct words) are in no class and no
 pair; rows with equal word sets are one class with similarity 1; ties do not arise, pairs are (smaller id,
@@ -12,7 +13,6 @@ larger id); an empty table gives an empty result; other columns of the input are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,35 +21,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintang.llm.setjoin import expand, membership, salted_join, set_classes, verified_pairs, word_sets
-from lintang.operators.tiles import in_tiles, tile_pairs
+from lintang.llm.setjoin import expand, membership, odd_sketches, salted_join, sketches_allow, stored_classes, verified_pairs, word_sets
+from lintang.operators.tiles import cut_in_tiles, long_lists, tile_pairs
 from lintang.session import materialize
 
 
 @dataclass(frozen=True)
 class SketchParameters:
-    """``bands`` x ``rows`` MinHash values find candidates; ``samples`` more fill a sketch of 64 * ``words`` bits.
+    """``bands`` x ``rows`` MinHash values find candidates; an odd sketch of 64 * ``words`` bits prunes them.
 
     A pair of similarity 0.75 misses all 30 bands of 5 rows with probability 0.0003, one of 0.8 with 6e-6.
-    ``slack`` is what the sketch's estimate may fall short of the threshold before a candidate is dropped,
-    above four standard deviations of the estimate.
     """
 
     bands: int = 30
     rows: int = 5
-    samples: int = 64
     words: int = 4
-    slack: float = 0.27
+    at_once: int = 10
     seed: int = 20240607
 
-    @property
-    def bits(self) -> int:
-        return 64 * self.words
 
-    def most_differing_bits(self, threshold: float) -> int:
-        """Inverse of the estimate J = 1 + bits / (4 samples) * ln(1 - 2 z / bits) at threshold - slack."""
-        lowest = max(threshold - self.slack, 0.0)
-        return math.ceil(self.bits / 2 * (1 - math.exp(-4 * self.samples * (1 - lowest) / self.bits)))
+#: Up to so many classes, all bands are joined at once. Hash functions drawn beyond those of the bands, which fixes the latter.
+SMALL, SPARE = 20_000, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,41 +50,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signatures(hash_lists: list[np.ndarray], p: SketchParameters) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketches) of the given non-empty arrays of word hashes, one row each, as int64."""
+def band_keys(hash_lists: list[np.ndarray], p: SketchParameters, bands: range) -> np.ndarray:
+    """Keys of those bands of the given non-empty arrays of word hashes, one row each, as int64."""
     rng = np.random.default_rng(p.seed)
-    count = p.bands * p.rows + p.samples
+    count = p.bands * p.rows + SPARE
     factor = rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, count, dtype=np.uint64)
     weight = rng.integers(1, 2**63, p.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    flat = np.concatenate(hash_lists).view(np.uint64)
     starts = np.cumsum([0] + [len(h) for h in hash_lists[:-1]])
-    values = np.empty((len(hash_lists), count), dtype=np.uint64)
-    mixed = _mix(flat)
-    for k in range(count):  # one function at a time keeps memory at the size of the batch
-        values[:, k] = np.minimum.reduceat(mixed * factor[k] + shift[k], starts)
-    banded = values[:, : p.bands * p.rows].reshape(len(hash_lists), p.bands, p.rows)
-    keys = _mix((banded * weight).sum(axis=2, dtype=np.uint64) + np.arange(1, p.bands + 1, dtype=np.uint64))
-    sampled = values[:, p.bands * p.rows :] + np.arange(p.samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    place = (_mix(sampled) % np.uint64(p.bits)).astype(np.int64)
-    parity = np.zeros((len(hash_lists), p.bits), dtype=np.uint8)
-    rows = np.arange(len(hash_lists))
-    for k in range(p.samples):
-        parity[rows, place[:, k]] ^= 1
-    sketch = np.packbits(parity, axis=1, bitorder="little").view(np.int64)
-    return keys.view(np.int64), sketch
-
-
-def signed_classes(classes: DataFrame, p: SketchParameters) -> DataFrame:
-    """(rep, n, bands, s0, s1, ..) of each class: its size, the keys of its bands and its odd sketch."""
+    values = np.empty((len(hash_lists), len(bands) * p.rows), dtype=np.uint64)
+    mixed = _mix(np.concatenate(hash_lists).view(np.uint64))
+    for k in range(values.shape[1]):  # one function at a time keeps memory at the size of the batch
+        at = bands[0] * p.rows + k
+        values[:, k] = np.minimum.reduceat(mixed * factor[at] + shift[at], starts)
+    banded = values.reshape(len(hash_lists), len(bands), p.rows)
+    return _mix((banded * weight).sum(axis=2, dtype=np.uint64) + np.array(bands, dtype=np.uint64) + np.uint64(1)).view(np.int64)
+
+
+def signed_classes(classes: DataFrame, p: SketchParameters, bands: range) -> DataFrame:
+    """(rep, n, bands, s0, s1, ..) of each class: its size, the keys of those bands and its odd sketch."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
                 hashes = [np.asarray(h, dtype=np.int64) for h in part["hashes"]]
-                keys, sketches = signatures(hashes, p)
-                out = pd.DataFrame({"rep": part["rep"].to_numpy(), "n": [len(h) for h in hashes], "bands": list(keys)})
+                sketches = odd_sketches(hashes, p.words)
+                out = pd.DataFrame({"rep": part["rep"].to_numpy(), "n": [len(h) for h in hashes], "bands": list(band_keys(hashes, p, bands))})
                 yield out.assign(**{f"s{i}": sketches[:, i] for i in range(p.words)})
 
     words = ", ".join(f"s{i} bigint" for i in range(p.words))
@@ -105,12 +89,17 @@ def candidate_pairs(classes: DataFrame, threshold: float, p: SketchParameters, t
     Long bands are compared in tiles, so the pairs of one band are spread over many tasks.
     """
     names = [f"s{i}" for i in range(p.words)]
-    banded = in_tiles(classes, lambda rows: signed_classes(rows, p).select(F.explode("bands").alias("list_key"), "rep", "n", *names), tile, sampled)
-    a, b = banded.alias("a"), banded.alias("b")
-    apart = [F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names]
-    close = tile_pairs() & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    close = close & (sum(apart[1:], apart[0]) <= p.most_differing_bits(threshold))
-    return a.join(b, close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    at_once = p.bands if p.at_once >= p.bands or classes.count() <= SMALL else p.at_once
+    close = tile_pairs() & (F.col("a.rep") < F.col("b.rep")) & sketches_allow(threshold, p.words)
+    lists = lambda rows, bands: signed_classes(rows, p, bands).select(F.explode("bands").alias("list_key"), "rep", "n", *names)
+    hot = long_lists(classes, lambda rows: lists(rows, range(p.bands)), tile, sampled)
+    found = None
+    for first in range(0, p.bands, at_once):
+        banded = cut_in_tiles(lists(classes, range(first, min(first + at_once, p.bands))), hot)
+        pairs = banded.alias("a").join(banded.alias("b"), close).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+        pairs = pairs if at_once == p.bands else materialize(pairs)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def near_duplicate_classes(
@@ -123,8 +112,7 @@ def near_duplicate_classes(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sets, classes, members, links): classes (rep, members, key, hashes), members (id, rep, members, chunk) of classes of two or
     more, and linked classes (a, b, members_a, members_b, similarity)."""
-    sets = word_sets(df, id_col, F.col(text_col), min_words)
-    classes = materialize(set_classes(sets))
+    sets, classes = stored_classes(word_sets(df, id_col, F.col(text_col), min_words))
     links = materialize(verified_pairs(candidate_pairs(classes, threshold, parameters), classes, classes, threshold))
     return sets, classes, membership(sets, classes), links
 

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lintang import session
 from lintang.llm import consensus, cross_split, defects, encoding, leakage, near_duplicates, residue, scanned, setjoin, token_ids
 
 WORD = re.compile(r"[^\W_]+")
@@ -104,6 +106,39 @@ def test_long_bands_are_compared_in_tiles(spark):
     assert pairs() and pairs() == pairs(tile=4, sampled=1)
 
 
+def test_passes_of_bands_find_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL", 0)
+    classes = setjoin.set_classes(setjoin.word_sets(spark.createDataFrame(list(enumerate(variations(9, 90))), "id long, t string"), "id", F.col("t"), 12))
+    pairs = lambda n: {(r["a"], r["b"]) for r in near_duplicates.candidate_pairs(classes, 0.75, near_duplicates.SketchParameters(at_once=n)).collect()}
+    assert pairs(30) and pairs(30) == pairs(11)
+
+
+def test_sketches_drop_no_pair_of_the_threshold():
+    rng = np.random.default_rng(6)
+    for n in (5, 30, 400, 3000):
+        a = rng.integers(-(2**63), 2**63, n)
+        for kept in range(0, n + 1, max(1, n // 8)):
+            b = np.concatenate((a[:kept], rng.integers(-(2**63), 2**63, n - kept)))
+            x, y = setjoin.odd_sketches([a, b], 4)
+            assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= 2 * (n - kept)
+
+
+def test_tables_that_were_stored_leave_no_shuffle_files(spark):
+    sc = spark.sparkContext
+    files = lambda: {f.getName() for f in map(manager.getAllFiles().apply, range(manager.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    manager = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = files(), spark.conf.get(session.CLEANUP, None)
+    rows = spark.range(1000).withColumn("t", F.concat_ws(" ", *[F.format_string(f"k{i}x%d", F.col("id") % 9) for i in range(14)]))
+    keys, classes = setjoin.stored_classes(setjoin.word_sets(rows, "id", F.col("t"), 12))
+    for _ in range(50):
+        time.sleep(0.1)
+        left = [f for f in files() - before if f.endswith(".data")]
+        if not left:
+            break
+    assert not left
+    assert keys.count() == 1000 and classes.count() == 9 and keys.columns == ["id", "key"] and spark.conf.get(session.CLEANUP, None) == setting
+
+
 def test_membership_of_classes(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(15))) for i in range(70)] + [(100, " ".join(f"w{k}" for k in range(16))), (200, " ".join(f"v{k}" for k in range(15))), (300, None), (400, "")]
     df = spark.createDataFrame(rows, "id long, t string").withColumn("key", F.lit("clash"))
