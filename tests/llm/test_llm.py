@@ -90,6 +90,16 @@ def test_weighted_cosine_join_matches_brute_force(spark, monkeypatch):
         assert set(found) == {k for k, c in cosine.items() if c >= 0.7 - 1e-9} and all(abs(found[k] - cosine[k]) < 1e-9 for k in found)
 
 
+def test_candidates_of_a_jaccard_join_pass_the_sketches(spark, monkeypatch):
+    # ten words in common of eighteen a side: their similarity is 0.38, which the sketches tell before a word set is sent
+    common = [f"k{i}" for i in range(10)]
+    table = lambda side: setjoin.set_classes(setjoin.word_sets(spark.createDataFrame([(i, " ".join(common + [f"{side}{i}x{k}" for k in range(8)])) for i in range(30)], "id long, t string"), "id", F.col("t"), 1))
+    met = []
+    monkeypatch.setattr(cross_split, "with_sets", lambda pairs, a, b: met.append(pairs.count()) or setjoin.with_sets(pairs, a, b))
+    assert cross_split.cosine_join_pairs(table("a"), table("b"), 0.3).count() == met[0] == 900
+    assert cross_split.cosine_join_pairs(table("a"), table("b"), 0.3, 0.75).count() == met[1] == 0
+
+
 def test_rows_of_long_texts_grow_with_their_length():
     rng, counts = np.random.default_rng(1), np.zeros(1 << cross_split.BUCKETS)
     common = rng.integers(-(2**63), 2**63, 300)
