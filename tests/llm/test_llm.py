@@ -364,6 +364,19 @@ def test_scanned_pages(spark):
     assert got[1][1] == "Ibu membeli majalah di toko dengan harga murah" and got[2][1] == "Ibu membeli majalah di toko"
 
 
+def test_pairs_beyond_the_model_are_looked_up(spark):
+    # the pairs decide between two frequent words, whichever of them the model holds
+    lines = ["ibu makan nasi hari ini", "ibu masak nasi hari ini", "dia bantu teman hari ini", "batu besar di sana", "satu buah batu besar"]
+    texts = spark.createDataFrame([(lines[k % 5],) for k in range(600)], "text string")
+    pages = spark.createDataFrame(list(enumerate(["ibu rnakan nasi", "satu buah b@tu besar", "dia b@ntu teman"])), "id long, t string")
+    whole = scanned.page_model(texts)
+    cut = scanned.page_model(texts, most_pairs=2)
+    assert whole.more is None and len(cut.pairs) <= 2 and cut.more.count() == len(whole.pairs) - len(cut.pairs)
+    assert cut.behind == whole.behind and cut.after_rare == whole.after_rare
+    read = lambda m: sorted((r["id"], r["repaired"]) for r in scanned.scan_noise(pages, "id", F.col("t"), m).collect())
+    assert read(cut) == read(whole) == [(0, "ibu makan nasi"), (1, "satu buah batu besar"), (2, "dia bantu teman")]
+
+
 def test_confusions_are_estimated():
     words = {"rumah": 1000, "r0mah": 3, "rum@h": 40, "malam": 900, "rnalam": 30, "buku": 500}
     model = scanned.PageModel(dict(words), {}, 3000, None).finish()
