@@ -192,6 +192,18 @@ def test_consensus_of_equal_records(spark):
         assert wrong[consensus.consensus_choice(values, [1] * 7)] == min(wrong)
 
 
+def test_ranked_survivors_need_no_alignment(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, f"soal {i % 5}", f"nilai {rng.randrange(30)} {rng.randrange(3)}", rng.randrange(3), rng.choice([None, "2024-01-01", "2024-02-01"])) for i in range(200)]
+    best = {}
+    for i, q, v, trust, seen in rows:
+        best[q] = max(best.get(q, ()), (trust, seen or "", -i))
+    monkeypatch.setattr(consensus.F, "pandas_udf", lambda *_: pytest.fail("an alignment that decides nothing"))
+    df = spark.createDataFrame(rows, "id long, q string, v string, trust int, seen string")
+    out = consensus.survivors(df, "id", "q", ["v"], F.col("trust"), F.col("seen").cast("timestamp")).collect()
+    assert {r["id"] for r in out} == {-b[2] for b in best.values()}
+
+
 def test_hot_group_is_spread(spark):
     df = spark.range(3000).withColumn("q", F.when(F.col("id") % 3 < 2, F.lit("panas")).otherwise(F.concat(F.lit("dingin "), F.col("id").cast("string"))))
     out = consensus.survivors(df, "id", "q", ["q"], F.lit(1), F.lit(None).cast("timestamp")).collect()
