@@ -288,13 +288,13 @@ def fit(sample: pd.DataFrame, without: int | None = None, rounds: int = 5) -> Re
     return model
 
 
-def is_labelled(text: Column) -> Column:
-    """Whether a plain text has a weak label; the long pattern runs only where a signal word stands."""
+def is_labelled(text: Column, without: int | None = None) -> Column:
+    """Whether a plain text has a weak label of ``labels(without)``; the long pattern runs only where a signal word stands."""
     signal = F.lit(False)
     for word in SIGNALS:
         signal = signal | text.contains(word)
     repeated = r"\b([^\W\d]{3,}+)(?: \1\b){3,}|\b([^\W\d]{3,}+ [^\W\d]{3,}+)(?: \2\b){2,}"
-    java = labels().replace("(?P<", "(?<").replace("(?P=one)", r"\k<one>").replace("(?P=two)", r"\k<two>")
+    java = labels(without).replace("(?P<", "(?<").replace("(?P=one)", r"\k<one>").replace("(?P=two)", r"\k<two>")
     return (signal | text.rlike(repeated)) & text.rlike(java)
 
 
@@ -351,20 +351,26 @@ def validation(documents: DataFrame, text_col: str = "text", host_col: str = "so
 
     Every second label is left out of a fit; ``documents`` are those that only labels of that half know, ``recall`` is that of
     the full model and ``recall_left_out`` that of the fit, to which these documents were unlabelled. ``flagged_share`` is the
-    share of documents without any label that the full model flags.
+    share of documents without any label that the full model flags. All documents of those hosts are counted; the fits are those of ``fit``.
     """
-    unseen = F.pmod(F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.lit(9)), F.lit(4)) == 0
+    spark = documents.sparkSession
+    host, text = F.coalesce(F.col("host"), F.lit("")), F.col("text")
+    unseen = F.pmod(F.xxhash64(host, F.lit(9)), F.lit(4)) == 0
     train = sample_documents(documents, text_col, host_col, ~unseen)
-    test = sample_documents(documents, text_col, host_col, unseen)
-    texts = list(test["text"])
-    known = [np.array([bool(re.search(labels(half), plain(t))) for t in texts], bool) for half in (1, 0)]  # by even labels, by odd ones
-    full = scores_of(texts, fit(train)) > 0 if texts else np.zeros(0, bool)
-    weight, other = test["weight"].to_numpy(float), ~known[0] & ~known[1]
-    share = float(weight[other & full].sum() / max(weight[other].sum(), 1e-9))
-    rows = []
-    for half, name in ((0, "even"), (1, "odd")):
-        only = known[half] & ~known[1 - half]
-        blind = scores_of(texts, fit(train, half)) > 0 if only.any() else np.zeros(len(texts), bool)
-        n = int(only.sum())
-        rows.append((name, n, float((only & full).sum() / max(n, 1)), float((only & blind).sum() / max(n, 1)), share))
-    return documents.sparkSession.createDataFrame(rows, "labels_left_out string, documents bigint, recall double, recall_left_out double, flagged_share double")
+    rows = documents.select(F.col(text_col).alias("text"), F.col(host_col).alias("host")).where(text.rlike(r"\S")).where(unseen)
+    shown = rows.select("text", plain_column(text).alias("plain"))
+    # known_0: by even labels, known_1: by odd ones
+    test = materialize(shown.select(F.monotonically_increasing_id().alias("id"), "text", *[is_labelled(F.col("plain"), 1 - k).alias(f"known_{k}") for k in (0, 1)]))
+    flagged = test.select("id", "known_0", "known_1")
+    for name, without in (("full", None), ("blind_0", 0), ("blind_1", 1)):
+        said = residue_scores(test, "id", "text", fit(train, without))
+        flagged = flagged.join(said.select("id", (F.col("score") > 0).alias(name)), "id")
+    other = ~F.col("known_0") & ~F.col("known_1")
+    only = [F.col(f"known_{k}") & ~F.col(f"known_{1 - k}") for k in (0, 1)]
+    sums = {"other": other, "other_full": other & F.col("full")}
+    for k in (0, 1):
+        sums |= {f"only_{k}": only[k], f"full_{k}": only[k] & F.col("full"), f"left_{k}": only[k] & F.col(f"blind_{k}")}
+    n = flagged.agg(*[F.count_if(c).alias(name) for name, c in sums.items()]).first()
+    share = n["other_full"] / max(n["other"], 1)
+    out = [(name, n[f"only_{k}"], n[f"full_{k}"] / max(n[f"only_{k}"], 1), n[f"left_{k}"] / max(n[f"only_{k}"], 1), share) for k, name in ((0, "even"), (1, "odd"))]
+    return spark.createDataFrame(out, "labels_left_out string, documents bigint, recall double, recall_left_out double, flagged_share double")

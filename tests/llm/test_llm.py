@@ -451,6 +451,17 @@ def test_residue(spark):
     assert residue.residue_scores(df, "id", "text", residue.residue_model(empty)).where("score > 0").count() == 0
 
 
+def test_validation_counts_all_documents(spark, monkeypatch):
+    for name in ("MOST_SEEN", "MOST_LABELLED", "MOST_OTHER"):
+        monkeypatch.setattr(residue, name, 40)  # what a fit reads
+    good, bad = residue_corpus()
+    df = spark.createDataFrame([(t, f"h{i % 8}") for i, t in enumerate(good + bad)], "text string, source string")
+    unseen = [r["text"] for r in df.where(F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(9)), F.lit(4)) == 0).collect()]
+    known = [{t for t in unseen if re.search(residue.labels(1 - k), residue.plain(t))} for k in (0, 1)]
+    got = {r["labels_left_out"]: r["documents"] for r in residue.validation(df).collect()}
+    assert got == {name: sum(t in known[k] and t not in known[1 - k] for t in unseen) for k, name in ((0, "even"), (1, "odd"))} and sum(got.values()) > 0
+
+
 def test_signals_stand_in_all_labelled_texts(spark):
     texts = [*residue_corpus()[1], "HTTP 502 Bad Gateway", "Halo undefined!", "kata kata kata kata", "isi teks isi teks isi teks", "java.lang.StackException", "Sesi Anda berakhir", "teks contoh", "Oops, ada yang salah", "sudah dihapus", "Isi &lt;judul bab&gt; {namaSiswa}", "@Model.Judul", "biasa saja", "Kata \"lorem ipsum\""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", residue.is_labelled(residue.plain_column(F.col("t"))).alias("l"))
