@@ -358,6 +358,26 @@ def test_labelled_texts_are_read_whole(spark):
     assert defects.language_model(labelled, "text", "lang", {})[0]["id"].counts["zqz"] == 1
 
 
+def test_language_model_counts_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(defects, "MOST_WORDS", 40)
+    said = {"id": "kita menghitung nilai persamaan dengan langkah yang benar untuk nomor", "en": "we compute the value of the equation with the right steps for number"}
+    texts = [(f"{said[lang]} {chr(97 + i % 26)}q{chr(97 + i // 26 % 26)}", lang) for i in range(2600) for lang in said]
+    labelled = spark.createDataFrame(texts, "text string, lang string")
+    whole = {n: defects.LanguageModel([t for t, lang in texts if lang == n]) for n in said}
+    models, floor, major = defects.language_model(labelled, "text", "lang", {})
+    assert {n: m.counts for n, m in models.items()} == {n: m.counts for n, m in whole.items()} and major == "en"
+    reached = sorted(defects.best_language(whole, t)[2] for t, _ in texts)
+    assert floor == pytest.approx(reached[len(texts) // 500] - 0.4)
+    asked = [f"{said['id']} {chr(97 + i % 26)}" for i in range(6100)]
+    pairs = [(p, "然后计算每一部分的数值再把它们相加" if i % 100 == 0 else said["id"]) for i, p in enumerate(asked)]
+    models, floor, _ = defects.language_model(labelled, "text", "lang", {}, spark.createDataFrame(pairs, "prompt string, answer string"))
+    lines = [line for p, a in pairs for line in (p, a) if line.isascii()]  # answers in a language without labels teach nothing
+    both = {"id": defects.LanguageModel([t for t, lang in texts if lang == "id"] + lines), "en": whole["en"]}
+    assert {n: m.counts for n, m in models.items()} == {n: m.counts for n, m in both.items()}
+    reached = sorted(defects.best_language(both, t)[2] for t in lines)
+    assert floor == pytest.approx(reached[len(lines) // 500] - 0.4)
+
+
 def test_scanned_pages(spark):
     clean = ["Ibu membeli majalah di toko dengan harga murah dan menyimpan buku di rumah." for _ in range(40)]
     pages = ["Ibu membeli majalah di\nNaskah UN 012 · Dokumen Sekolah\ntoko dengan harga murah" for _ in range(8)]

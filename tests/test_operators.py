@@ -196,3 +196,9 @@ def test_blocks_of_a_hot_document_match_a_plain_loop(spark):
     merged = {(r["doc"], r["n"]): r["t"] for r in sequence.pending_questions(df, "doc", ["n"], "t", "numbered", "complete").collect()}
     assert merged == {(doc, g[0]): "\n".join(f"t{n}" for n in g) for doc, parts in groups.items() for g in parts}
     assert sequence.carry_down(df.limit(0), "doc", "n", "v", "c").count() == 0
+
+
+def test_ranked(spark):
+    values = [(i * 7919 % 30011) ** 3 / 1e9 for i in range(30000)] + [5.0] * 15000 + [-1e6, 1e12]
+    df, order = spark.createDataFrame([(v,) for v in values], "v double"), sorted(values)
+    assert all(sampling.ranked(df, "v", k) == order[k] for k in (0, 1, 90, 20000, 44999, 45001))
