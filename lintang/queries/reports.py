@@ -102,7 +102,7 @@ def rule_reasons_detected(spark, d):
 
 def lexical_duplicate_rate(spark, d):
     gold = table(spark, d, "gold").select("rid", "soal")
-    return reports.duplicate_rate(similarity.near_duplicate_rows(gold, "rid", "soal"), gold)
+    return reports.duplicate_rate(similarity.near_duplicate_links(gold, "rid", "soal"), gold)
 
 
 def leak_examples(spark, d):
